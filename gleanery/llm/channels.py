@@ -97,6 +97,33 @@ def utf8_once(text: str, shown: str) -> str | None:
     return "".join(out) if hit else None
 
 
+#: Stand for a UTF-8 character of which only the first byte is left (U+E000 + that byte).
+STUB = 0xE000
+
+
+def stubs(text: str, shown: str) -> str | None:
+    """UTF-8 sequences whose later bytes, controls of the upper range, were dropped, as stubs."""
+    table, out, at, hit = TABLES[shown], [], 0, False
+    while at < len(text):
+        b = table.get(text[at], 0)
+        size = 2 if 0xC2 <= b <= 0xDF else 3 if 0xE0 <= b <= 0xEF else 0
+        rest = 1
+        while rest < size and at + rest < len(text) and 0x80 <= table.get(text[at + rest], 0) <= 0xBF:
+            rest += 1
+        if size and rest < size:
+            out.append(chr(STUB + b))
+            hit = True
+        elif size:
+            try:
+                out.append(bytes(table[x] for x in text[at : at + size]).decode("utf-8"))
+            except UnicodeDecodeError:
+                out.append(text[at : at + size])
+        else:
+            out.append(text[at])
+        at += rest if size else 1
+    return "".join(out) if hit else None
+
+
 def _plausible(text: str) -> bool:
     """Letters of one script a word with capitals only in front, or all capitals, and usual signs."""
     if re.search(r"[^\W\d_][^\x00-\x7f\w’][^\W\d_]", text) and not any("㐀" <= c <= "鿿" for c in text):
@@ -130,6 +157,10 @@ def single_byte(text: str, shown: str, was: str) -> str | None:
     return back if _plausible(back) else None
 
 
+DROPPED = "utf-8 as latin-1, bytes dropped"
+_STUBBED = re.compile(rf"(?:[^\W\d_]|[{chr(STUB + 0x80)}-{chr(STUB + 0xFF)}])+")
+
+
 def candidates(unit: str) -> list[tuple[str, int, str]]:
     """(channel, UTF-8 levels, restored) of every wrong decoding that can have made the unit.
 
@@ -149,14 +180,17 @@ def candidates(unit: str) -> list[tuple[str, int, str]]:
             back = single_byte(start, shown, was)
             if back is not None and back != start and back not in found:
                 found[back] = (f"{escaped}{was} as {shown}", 0, back)
+    cut = stubs(start, "latin-1")
+    if cut is not None and _STUBBED.fullmatch(cut) and len(re.findall("[a-z]", cut.lower())) > 2:
+        found[cut] = (f"{escaped}{DROPPED}", 1, cut)
     if LOST in start:
         found.setdefault(start, ("lost bytes", 0, start))
     return list(found.values())
 
 
 def model_words(text: str) -> list[str]:
-    """The words beyond ASCII, in lower case."""
-    return [w for w in WORD.findall(text.lower()) if not w.isascii()]
+    """The words of a unit, in lower case."""
+    return WORD.findall(text.lower())
 
 
 def pattern_of(word: str) -> str:
@@ -171,6 +205,10 @@ def fits(word: str, damaged: str) -> bool:
     if len(known) != len(gaps):
         return False
     for was, now in zip(known[1::2], gaps[1::2]):
+        if any(STUB + 0x80 <= ord(c) <= STUB + 0xFF for c in now):
+            if len(was) != len(now) or not all(_may_be(a, b) for a, b in zip(was, now)):
+                return False
+            continue
         lost = now.count(LOST)
         if LOST not in now:
             if was != now:
@@ -181,3 +219,15 @@ def fits(word: str, damaged: str) -> bool:
         elif lost not in (len(was), len(was.encode("utf-8"))):
             return False
     return True
+
+
+def _may_be(was: str, now: str) -> bool:
+    """Whether a character is, in either case, the stub's: its first byte, then dropped ones."""
+    first = ord(now) - STUB
+    if not 0x80 <= first <= 0xFF:
+        return was == now
+    for c in (was, was.upper()):
+        raw = c.encode("utf-8")
+        if raw[0] == first and any(0x80 <= b <= 0x9F for b in raw[1:]):
+            return True
+    return False

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.channels import LOST, UNIT, candidates, fits, model_words, pattern_of
+from gleanery.llm.channels import DROPPED, LOST, UNIT, candidates, fits, model_words, pattern_of
 from gleanery.runtime import cut
 
 #: Log odds for each level of valid UTF-8 sequences, which clean text hardly holds by chance.
@@ -132,6 +132,12 @@ def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(fixes, kind)], names=["key", "fixes"])
 
 
+def _gaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        patterns = pa.array([pattern_of(w) for w in batch.column(3).to_pylist()], pa.string())
+        yield pa.RecordBatch.from_arrays([*batch.columns, patterns], names=["unit", "channel", "level", "damaged", "gaps"])
+
+
 def _fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of (word, damaged, n) those where the word can have become the damaged one."""
     for batch in batches:
@@ -162,9 +168,12 @@ class Repair:
         """(unit, found): units with a reading that is likelier than the unit, and these readings."""
         units = self.tokens.filter(f"kind = {UNIT_ROW}").select("token")
         lattices = cut(units.mapInArrow(_lattices, CANDIDATE))
-        looked = lattices.select("unit", "channel", "level", "restored", F.explode_outer("words").alias("word")).join(self.words, "word", "left")
+        dropped = F.col("channel").endswith(DROPPED)
+        whole = lattices.filter(~dropped).unionByName(self._refilled(lattices.filter(dropped)))
+        looked = whole.select("unit", "channel", "level", "restored", F.explode_outer("words").alias("word")).join(self.words, "word", "left")
         log = F.log1p(F.coalesce("n", F.lit(0)))
-        scored = looked.groupBy("unit", "channel", "level", "restored").agg(F.min(log).alias("likely"), F.max(F.length("word")).alias("letters"))
+        letters = F.sum(F.length(F.regexp_replace("word", r"\P{L}", "")))
+        scored = looked.groupBy("unit", "channel", "level", "restored").agg(F.min(log).alias("likely"), letters.alias("letters"))
         own = scored.filter("channel = ''").select("unit", F.col("likely").alias("as_is"))
         x = scored.filter("channel <> ''").join(own, "unit")
         gain = F.col("likely") - F.col("as_is")
@@ -174,6 +183,14 @@ class Repair:
         x = x.withColumn("odds", odds).filter("odds >= 0")
         return x.groupBy("unit").agg(F.collect_list(F.struct("channel", "restored", "odds")).alias("found"))
 
+    def _refilled(self, dropped: DataFrame) -> DataFrame:
+        """Units of one word that lost bytes, with the most frequent other word that fits."""
+        gaps = dropped.select("unit", "channel", "level", F.col("restored").alias("damaged")).mapInArrow(_gaps, "unit string, channel string, level int, damaged string, gaps string")
+        pairs = gaps.join(self.words.mapInArrow(_patterns, "word string, n bigint, gaps string"), "gaps")
+        kept = pairs.filter("word <> lower(unit)").select("word", "damaged", "n", "unit", "channel", "level").mapInArrow(_fill, "word string, damaged string, n bigint, unit string, channel string, level int")
+        best = kept.groupBy("unit", "channel", "level").agg(F.max_by("word", F.struct("n", "word")).alias("restored"))
+        return best.select("unit", "channel", "level", "restored", F.array("restored").alias("words"))
+
     def fixes(self) -> DataFrame:
         """(key, fixes): the damaged documents, and what to put where."""
         places = self.documents.filter("key is not null").mapInArrow(_occurrences, f"key {self.kind}, start int, unit string")
@@ -236,7 +253,7 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             text, at, parts = row["text"], 0, []
             fill = {f["damaged"]: f["word"] for f in row["fill"] or []}
             for f in sorted(row["fixes"], key=lambda f: f["start"]):
-                new = f["restored"]
+                new = _cased(f["restored"], f["unit"]) if f["channel"].endswith(DROPPED) else f["restored"]
                 for w in _lost_in(new):
                     if w.lower() in fill:
                         new = new.replace(w, _cased(fill[w.lower()], w), 1)
