@@ -1,4 +1,6 @@
-"""Queries over the test tables and their SQL."""
+"""All queries of the core over the test tables, and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from gleanery.plans import curation, evaluation, selection  # noqa: F401
+from gleanery.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
