@@ -6,7 +6,7 @@ import html
 import re
 
 LOST = "�"
-ENTITY = r"&(?:[A-Za-z]{2,8}|#[0-9]{2,6}|#x[0-9A-Fa-f]{2,5});"
+ENTITY = r"&(?:[A-Za-z]{2,8}[0-9]{0,2}|#[0-9]{2,6}|#x[0-9A-Fa-f]{2,5});"
 #: Letters and characters beyond ASCII without a break, at least one beyond ASCII or escaped.
 UNIT = re.compile(rf"[A-Za-z]*(?:[^\x00-\x7f]|{ENTITY})(?:[A-Za-z]|[^\x00-\x7f]|{ENTITY})*")
 #: Words of the model: one ideograph; a run of letters, with signs within that don't part words;

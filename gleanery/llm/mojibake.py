@@ -23,7 +23,7 @@ from gleanery.runtime import cut
 
 #: Log odds for each level of valid UTF-8 sequences, which clean text hardly holds by chance.
 SEQUENCE = 2.5
-#: Log odds for characters that text doesn't hold: controls of the upper range, lost bytes.
+#: Log odds for what text doesn't hold: controls of the upper range; lost bytes or a shown byte-order mark.
 CONTROL, GONE = 2.0, 6.0
 #: A channel of single bytes is told only by words of SHORT letters that gain at least CLEAR.
 SHORT, CLEAR = 3, 2.0
@@ -180,6 +180,7 @@ class Repair:
         vague = (F.col("level") == 0) & ((F.coalesce("letters", F.lit(0)) < SHORT) | (gain < CLEAR))
         odds = F.when(F.col("restored").contains(LOST), F.lit(GONE)).otherwise(F.when(vague, F.least(gain, F.lit(0.0))).otherwise(gain))
         odds = odds + SEQUENCE * F.col("level") + F.when(F.col("unit").rlike("[\u0080-\u0084\u0086-\u009f]"), CONTROL).otherwise(0.0)
+        odds = odds + F.when(F.col("restored").contains("\ufeff") & (F.col("level") > 0), GONE).otherwise(0.0)
         x = x.withColumn("odds", odds).filter("odds >= 0")
         return x.groupBy("unit").agg(F.collect_list(F.struct("channel", "restored", "odds")).alias("found"))
 

@@ -112,4 +112,27 @@ def p7_restored(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_report, p2_sample, p3_found, p3_splits, p3_shares, p4_found, p5_ids, p6_found, p6_mix, p6_shares, p7_found, p7_restored)}
-ORACLES: dict[str, str] = {}
+
+
+_CANON = """WITH RECURSIVE alias AS (SELECT 'class_name' AS f, class_name AS c, unnest(list_append(aliases, class_name)) AS a FROM classes UNION ALL SELECT 'split', split_name, unnest(list_append(aliases, split_name)) FROM split_targets),
+    k AS (SELECT f, nullif(translate(lower(trim(a)), ' -', '__'), '') AS k, min(c) AS c FROM alias GROUP BY ALL)"""
+
+ORACLES: dict[str, str] = {
+    "p2_found": _CANON
+    + """, img AS (SELECT DISTINCT image_id, x.c AS class_name, y.c AS split, nullif(trim(source), '') AS source, in_balanced FROM pool_images p
+        LEFT JOIN k x ON x.f = 'class_name' AND x.k = translate(lower(trim(p.class_name)), ' -', '__') LEFT JOIN k y ON y.f = 'split' AND y.k = translate(lower(trim(p.split)), ' -', '__')),
+    head AS (SELECT DISTINCT plan_id, category_field, scope_split, scope_balanced, sample_share FROM sample_targets),
+    scoped AS (SELECT plan_id, sample_share, CASE category_field WHEN 'class_name' THEN class_name WHEN 'split' THEN split ELSE source END AS category, image_id FROM img, head
+        WHERE (scope_split IS NULL OR split = scope_split) AND (scope_balanced IS NULL OR in_balanced = scope_balanced)),
+    size AS (SELECT plan_id, floor(any_value(sample_share) * count(DISTINCT image_id)) AS size FROM scoped GROUP BY plan_id),
+    have AS (SELECT plan_id, category, count(DISTINCT image_id) AS n FROM scoped GROUP BY ALL)
+    SELECT t.plan_id, t.category FROM sample_targets t LEFT JOIN size USING (plan_id) LEFT JOIN have h ON h.plan_id = t.plan_id AND h.category = t.category
+    WHERE greatest(min_rows, floor(target_share * coalesce(size, 0))) > coalesce(h.n, 0)""",
+    "p3_found": _CANON
+    + """ SELECT group_id FROM pool_images JOIN k ON k.f = 'split' AND k.k = translate(lower(trim(split)), ' -', '__') WHERE group_id >= 0 GROUP BY group_id HAVING count(DISTINCT k.c) > 1""",
+    "p4_found": """WITH RECURSIVE ids AS (SELECT DISTINCT image_id FROM pool_images),
+    e AS (SELECT image_a AS a, image_b AS b FROM near_pairs WHERE image_a <> image_b AND distance <= 5 AND image_a IN (FROM ids) AND image_b IN (FROM ids)),
+    both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+    reach AS (SELECT a AS node, a AS other FROM both_ways UNION SELECT r.node, x.b FROM reach r JOIN both_ways x ON x.a = r.other)
+    SELECT min(other) AS group_image_id, node AS image_id FROM reach GROUP BY node""",
+}
