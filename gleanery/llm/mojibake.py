@@ -167,6 +167,8 @@ class Repair:
     def suspects(self) -> DataFrame:
         """(unit, found): units with a reading that is likelier than the unit, and these readings."""
         units = self.tokens.filter(f"kind = {UNIT_ROW}").select("token")
+        spread = max(int(units.sparkSession.conf.get("spark.sql.shuffle.partitions")), units.sparkSession.sparkContext.defaultParallelism)
+        units = units.repartition(spread, "token")  # few bytes but much work: not to be merged into a task
         lattices = cut(units.mapInArrow(_lattices, CANDIDATE))
         dropped = F.col("channel").endswith(DROPPED)
         whole = lattices.filter(~dropped).unionByName(self._refilled(lattices.filter(dropped)))
