@@ -127,14 +127,12 @@ class FingerprintIndex:
 
     def create(self, prints: DataFrame) -> FingerprintIndex:
         """Fills the index with fingerprints. Equal ones are kept once."""
-        distinct = cut(prints.select(*PRINT).distinct())
-        stats = distinct.groupBy("digits", "kind").agg(F.count("*").alias("n")).collect()  # a row a length: at most 128
+        stats = prints.groupBy("digits", "kind").agg(F.count("*").alias("n")).collect()  # a row a length: at most 128
         self.lengths = sorted({DIGITS, 16} | {r["digits"] for r in stats if r["kind"] == NEAR})
         per = {n: 1 if n * 4 // (self.limit + 1) >= BAND_BITS else self.limit + 2 for n in self.lengths}
         rows = sum(r["n"] * (1 if r["kind"] == EXACT else (self.limit + 1) * per[r["digits"]]) for r in stats)
         self.buckets = max(12, ceil(rows / BUCKET_KEYS))
-        keyed = with_keys(distinct, self.limit, self.lengths)
-        self._write(keyed)
+        self._write(with_keys(prints.select(*PRINT).distinct(), self.limit, self.lengths))
         counts = self.read().groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > HOT_KEY)
         self.hot = cut(counts.select("key"))
         if self.hot.isEmpty():
