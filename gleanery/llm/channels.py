@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from functools import cache
 
 LOST = "�"
 ENTITY = r"&(?:[A-Za-z]{2,8}[0-9]{0,2}|#[0-9]{2,6}|#x[0-9A-Fa-f]{2,5});"
@@ -164,17 +165,18 @@ _STUBBED = re.compile(rf"(?:[^\W\d_]|[{chr(STUB + 0x80)}-{chr(STUB + 0xFF)}])+")
 def candidates(unit: str) -> list[tuple[str, int, str]]:
     """(channel, UTF-8 levels, restored) of every wrong decoding that can have made the unit.
 
-    Of channels with the same result the first stays.
+    Of single-byte channels with the same result the first stays.
     """
     start = html.unescape(unit) if "&" in unit else unit
     escaped = "entity " if start != unit else ""
     found: dict[str, tuple[str, int, str]] = {}
+    whole: list[tuple[str, int, str]] = []
     for shown in SHOWN:
         now = start
         for level in range(1, LEVELS + 1):
             if (now := utf8_once(now, shown)) is None:
                 break
-            found.setdefault(now, (f"{escaped}utf-8 as {shown} x{level}", level, now))
+            whole.append((f"{escaped}utf-8 as {shown} x{level}", level, now))
     for shown, origins in SINGLE.items():
         for was in origins:
             back = single_byte(start, shown, was)
@@ -185,7 +187,14 @@ def candidates(unit: str) -> list[tuple[str, int, str]]:
         found[cut] = (f"{escaped}{DROPPED}", 1, cut)
     if LOST in start:
         found.setdefault(start, ("lost bytes", 0, start))
-    return list(found.values())
+    return [*whole, *found.values()]
+
+
+@cache
+def usual(channel: str) -> int:
+    """The place of a channel among equals: the more usual decoders come first."""
+    shown = channel.partition(" as ")[2].split(" ")[0].rstrip(",")
+    return SHOWN.index(shown) if shown in SHOWN else len(SHOWN)
 
 
 def model_words(text: str) -> list[str]:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.channels import DROPPED, LOST, UNIT, candidates, fits, model_words, pattern_of
+from gleanery.llm.channels import DROPPED, LOST, UNIT, candidates, fits, model_words, pattern_of, usual
 from gleanery.runtime import cut
 
 #: Log odds for each level of valid UTF-8 sequences, which clean text hardly holds by chance.
@@ -91,7 +91,7 @@ def best_path(pieces: list[list[tuple[str, float]]]) -> list[int]:
                 odds[channel] = (e, k)
         top = max(state, key=state.get, default=None)
         ways, now = {}, {}
-        for channel in odds.keys() | state.keys():
+        for channel in sorted(odds.keys() | state.keys()):
             e, k = odds.get(channel, (-MISFIT, -1))
             come = [(clean - ENTER, "")]
             if channel in state:
@@ -124,7 +124,7 @@ def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         at, fixes = [], []
         for k, pieces in enumerate(batch.column(1).to_pylist()):
-            path = best_path([[(c["channel"], c["odds"]) for c in p["found"]] for p in pieces])
+            path = best_path([[(c["channel"], c["odds"] - 1e-6 * usual(c["channel"])) for c in p["found"]] for p in pieces])
             chosen = [{"start": p["start"], "unit": p["unit"], **{x: p["found"][c][x] for x in ("restored", "channel")}} for p, c in zip(pieces, path) if c >= 0]
             if chosen:
                 at.append(k)
@@ -244,7 +244,7 @@ def _lost_by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         words = batch.column(0).to_pylist()
-        keep = [LOST not in w and not any(level for _, level, _ in candidates(w)) for w in words]
+        keep = [LOST not in w and not any(level and not channel.endswith(DROPPED) for channel, level, _ in candidates(w)) for w in words]
         slim = batch.filter(pa.array(keep, pa.bool_()))
         yield pa.RecordBatch.from_arrays([*slim.columns, pa.array([pattern_of(w) for w, k in zip(words, keep) if k], pa.string())], names=["word", "n", "gaps"])
 

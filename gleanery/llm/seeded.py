@@ -3,29 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gleanery.operators.ordering import before_by_hash
+
 
 def priority(seed: int, *columns: str) -> Column:
     """A number that permutes records the same way in every run with this seed."""
     return F.xxhash64(F.lit(seed), *columns)
 
 
-def weight_before(df: DataFrame, groups: list[str], order: str, tie: str, weight: Column, bits: int = 12) -> DataFrame:
-    """Adds ``before``: the weight of the group's rows that come earlier by (order, tie).
-
-    `order` is a permuted 64-bit number. The group is cut into 2**bits ranges of it; sums
-    of ranges give what lies before a range, and rows are sorted only within their range, so
-    no task sorts a whole group. Groups must have no nulls.
-    """
-    ranged = df.withColumn("__range", F.shiftright(F.col(order), 64 - bits)).withColumn("__weight", weight)
-    sums = ranged.groupBy(*groups, "__range").agg(F.sum("__weight").alias("__sum"))
-    earlier = W.partitionBy(*groups).orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
-    sums = sums.select(*groups, "__range", F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__earlier"))
-    within = W.partitionBy(*groups, "__range").orderBy(order, tie).rowsBetween(W.unboundedPreceding, -1)
-    return (
-        ranged.join(sums, [*groups, "__range"])
-        .withColumn("before", F.col("__earlier") + F.coalesce(F.sum("__weight").over(within), F.lit(0)))
-        .drop("__range", "__weight", "__earlier")
-    )
+def weight_before(df: DataFrame, groups: list[str], order: str, tie: str, weight: Column) -> DataFrame:
+    """Adds ``before``: the weight of the group's rows that come earlier in the permutation."""
+    return before_by_hash(df, groups, order, tie, weight)

@@ -21,13 +21,15 @@ def _node(column: str) -> Column:
 
 
 def components(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Adds ``component``: the same for all rows that share a non-null value of any key.
+    """Adds ``component``: the same for all rows that share a non-null value of any key, directly
+    or through other rows. A column of that name is replaced.
 
     Each value is a vertex; a row links the values it holds. A row is named by its first
     value that isn't null; rows without any value belong to no component (null). Values that
     name no row and only ever occur with one other value lead nowhere else and are left out
     of the rounds.
     """
+    df = df.drop("component", "__node")
     nodes = [_node(k) for k in keys]
     named = df.withColumn("__node", F.coalesce(*nodes))
     links = [named.select(F.col("__node").alias("a"), n.alias("b")) for n in nodes[1:]]
@@ -60,13 +62,13 @@ def grouped_split(df: DataFrame, record: str, keys: list[str], strata: list[str]
     A component belongs to the stratum of its smallest record. Large components are drawn
     first, with the targets as weights; the others of a stratum are drawn with what the
     large ones left of the targets, so shares are met even where few components hold most
-    rows. Rows without any key value get no split. Clashing names: `df` may not have the
-    two new columns.
+    rows. Rows without any key value get no split; null strata are a stratum of their own.
+    Columns of the two new names are replaced. No rows give no rows.
     """
     if not 0 < len(targets) <= MAX_SPLITS:
         raise ValueError(f"between 1 and {MAX_SPLITS} splits are needed")
     names, shares = [n for n, _ in targets], [float(s) for _, s in targets]
-    placed = components(df, keys)
+    placed = components(df.drop("assigned"), keys)
     slim = placed.select("component", F.col(record).alias("r"), *(F.coalesce(F.col(s), F.lit("")).alias(f"s{k}") for k, s in enumerate(strata)))
     stratum = [f"s{k}" for k in range(len(strata))]
     sizes = cut(slim.filter("component is not null").groupBy("component").agg(F.count("*").alias("n"), F.min(F.struct("r", *stratum)).alias("m")).select("component", "n", *(F.col(f"m.{s}").alias(s) for s in stratum)))
