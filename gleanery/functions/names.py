@@ -34,7 +34,7 @@ def alias_table(names: DataFrame, name: str, aliases: str = "aliases") -> DataFr
 
 
 def resolve(df: DataFrame, column: str, aliases: DataFrame, to: str) -> DataFrame:
-    """Adds `to`, the canonical name of `column`, or null where no alias fits."""
+    """Adds `to`, the canonical name of `column`, or null where no alias fits; a column `to` is replaced."""
     key = f"__{to}_key"
     dim = aliases.select(F.col("alias").alias(key), F.col("canonical").alias(to))
-    return df.withColumn(key, normalised(F.col(column))).join(dim, key, "left").drop(key)
+    return df.withColumn(key, normalised(F.col(column))).drop(to).join(dim, key, "left").drop(key)

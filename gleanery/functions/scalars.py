@@ -6,9 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # What file scans skip and accept.
-METADATA_NAMES = [".ds_store", "thumbs.db", "desktop.ini"]
-METADATA_FOLDERS = ["__macosx", ".git", ".ipynb_checkpoints"]
-EXTENSIONS = ["jpg", "jpeg", "png", "bmp", "webp"]
+METADATA_NAMES = [".DS_Store", "Thumbs.db", "desktop.ini", ".gitkeep"]
+METADATA_FOLDERS = ["__MACOSX", ".AppleDouble", ".Spotlight-V100", ".Trashes", "$RECYCLE.BIN", "System Volume Information"]
+EXTENSIONS = ["jpg", "jpeg", "png", "webp", "bmp"]
 
 
 def content_hash(content: Column) -> Column:
@@ -41,9 +41,8 @@ def file_name(path: Column) -> Column:
 
 def is_metadata(path: Column) -> Column:
     """Operating-system bookkeeping: fixed names, ``._`` files, fixed folders."""
-    name = F.lower(file_name(path))
-    folders = F.transform(F.split(path, "/"), F.lower)
-    return name.isin(METADATA_NAMES) | name.startswith("._") | F.arrays_overlap(folders, F.array(*map(F.lit, METADATA_FOLDERS)))
+    name = file_name(path)
+    return name.isin(METADATA_NAMES) | name.startswith("._") | F.arrays_overlap(F.split(path, "/"), F.array(*map(F.lit, METADATA_FOLDERS)))
 
 
 def relative(path: Column, root: str) -> Column:
@@ -62,7 +61,7 @@ def staged_name(source: Column, path: Column, converted: Column) -> Column:
     folder = F.regexp_extract(path, r"^(.*)/[^/]*$", 1)
     stem = F.regexp_extract(path, r"([^/]*)\.[^./]*$", 1)
     ext = F.when(converted.isNotNull(), F.regexp_extract(converted, r"->(\w+)$", 1)).otherwise(extension(path))
-    return F.concat(safe_part(source), F.lit("__"), safe_part(folder), F.lit("__"), safe_part(stem), F.lit("."), ext)
+    return F.concat(source, F.lit("__"), safe_part(folder), F.lit("__"), safe_part(stem), F.lit("."), ext)
 
 
 def stable_seed(*parts: Column) -> Column:

@@ -25,8 +25,8 @@ def alias_resolve(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""SELECT lower(regexp_extract(source_path, '\\.([A-Za-z0-9]+)$', 1)) AS ext,
-    (lower(split_part(source_path, '/', -1)) IN ('.ds_store', 'thumbs.db', 'desktop.ini') OR split_part(source_path, '/', -1) LIKE '.\\_%' ESCAPE '\\'
-     OR list_has_any(list_transform(string_split(source_path, '/'), lambda x: lower(x)), ['__macosx', '.git', '.ipynb_checkpoints'])) AS metadata, count(*) AS n
+    (split_part(source_path, '/', -1) IN ('.DS_Store', 'Thumbs.db', 'desktop.ini', '.gitkeep') OR split_part(source_path, '/', -1) LIKE '.\\_%' ESCAPE '\\'
+     OR list_has_any(string_split(source_path, '/'), ['__MACOSX', '.AppleDouble', '.Spotlight-V100', '.Trashes', '$RECYCLE.BIN', 'System Volume Information'])) AS metadata, count(*) AS n
     FROM removed_images GROUP BY ALL""")
 def path_inventory(spark: SparkSession, d: str) -> DataFrame:
     x = table(spark, d, "removed_images").withColumn("ext", S.extension(F.col("source_path"))).withColumn("metadata", S.is_metadata(F.col("source_path")))
@@ -38,7 +38,7 @@ _SAFE = "regexp_replace(regexp_replace(replace({0}, '/', '_'), '[^A-Za-z0-9._\\-
 
 @query(
     W_POOL
-    + f""" SELECT image_id, {_SAFE.format('source')} || '__' || {_SAFE.format("regexp_extract(source_path, '^(.*)/[^/]*$', 1)")} || '__' || {_SAFE.format("regexp_extract(source_path, '([^/]*)[.][^./]*$', 1)")} || '.'
+    + f""" SELECT image_id, source || '__' || {_SAFE.format("regexp_extract(source_path, '^(.*)/[^/]*$', 1)")} || '__' || {_SAFE.format("regexp_extract(source_path, '([^/]*)[.][^./]*$', 1)")} || '.'
     || CASE WHEN converted IS NOT NULL THEN regexp_extract(converted, '->(\\w+)$', 1) ELSE lower(regexp_extract(source_path, '\\.([A-Za-z0-9]+)$', 1)) END AS staged FROM pool"""
 )
 def staged_names(spark: SparkSession, d: str) -> DataFrame:

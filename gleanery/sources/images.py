@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gleanery.functions.scalars import EXTENSIONS, extension, is_metadata, relative, true_format
 
 MIN_SIDE = 32
-MAX_UPLOAD = 16 * 1024 * 1024
+MAX_UPLOAD = 10 * 1024 * 1024
 
 
 def rejection(readable: Column, size: Column, ext: Column, decodes: Column, width: Column, height: Column) -> Column:
