@@ -31,9 +31,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows, written to the shared folder so that a lost executor loses nothing."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """The same rows, written to the shared folder so that a lost executor loses nothing.
+
+    A checkpointed frame keeps the size that was estimated for its plan. In loops these
+    estimates multiply each other until they alone fill the driver; the result here has the
+    written rows and no estimate.
+    """
+    spark = df.sparkSession
+    shared_dir(spark)
+    written = df.checkpoint(eager=True)._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(written.queryExecution().toRdd(), written.schema(), False), spark)
 
 
 def scratch(spark: SparkSession, name: str) -> str:
