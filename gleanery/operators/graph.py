@@ -8,25 +8,34 @@ from pyspark.sql import functions as F
 from gleanery.runtime import cut
 
 
+def _state(edges: DataFrame) -> tuple:
+    h = F.xxhash64("node", "to").cast("decimal(38,0)")
+    return tuple(edges.agg(F.count("*"), F.sum(h)).first())
+
+
 def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:
     """(node, component): linked nodes with the least node of their component.
 
-    Rounds of least neighbour label and pointer jumping, until no label changes.
+    Rounds of large and small stars: links of a node to larger ones, then to smaller ones, are
+    hung onto the least of them, until every component is a star around its least node. Each
+    link stays one row, however large a component is. Self links and nulls link nothing.
     """
-    one = edges.select(F.col(a).alias("node"), F.col(b).alias("to")).filter("node <> to")
-    links = cut(one.union(one.select("to", "node")).distinct())
-    labels = cut(links.groupBy("node").agg(F.least("node", F.min("to")).alias("component")))
+    one = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).filter("x <> y")
+    links = cut(one.select(F.greatest("x", "y").alias("node"), F.least("x", "y").alias("to")).distinct())
+    state = _state(links)
     for _ in range(max_rounds):
-        near = links.join(labels.withColumnsRenamed({"node": "to", "component": "other"}), "to")
-        near = near.groupBy("node").agg(F.min("other").alias("other"))
-        stepped = labels.join(near, "node").select("node", F.least("component", "other").alias("next"), "component")
-        target = labels.select(F.col("node").alias("next"), F.col("component").alias("jump"))
-        after = cut(stepped.join(target, "next", "left").select("node", F.least("next", F.coalesce("jump", "next")).alias("next"), "component"))
-        changed = not after.filter("next <> component").isEmpty()
-        labels = after.select("node", F.col("next").alias("component"))
-        if not changed:
-            return labels
-    raise RuntimeError(f"labels still change after {max_rounds} rounds")
+        both = links.union(links.select("to", "node"))
+        least = both.groupBy("node").agg(F.least("node", F.min("to")).alias("least"))
+        large = both.filter("to > node").join(least, "node").select(F.col("to").alias("node"), F.col("least").alias("to")).filter("node <> to").distinct()
+        large = cut(large)
+        least = large.groupBy("node").agg(F.min("to").alias("least"))
+        hung = large.join(least, "node").filter("to <> least").select(F.col("to").alias("node"), F.col("least").alias("to"))
+        links = cut(hung.union(least.select("node", F.col("least").alias("to"))).distinct())
+        before, state = state, _state(links)
+        if state == before:
+            tops = links.select(F.col("to").alias("node"), F.col("to").alias("component")).distinct()
+            return links.select("node", F.col("to").alias("component")).union(tops)
+    raise RuntimeError(f"links still change after {max_rounds} rounds")
 
 
 def number_groups(members: DataFrame, component: str, to: str = "group_id") -> DataFrame:

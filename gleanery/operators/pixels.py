@@ -152,6 +152,21 @@ def _over(compute, kind: str):
     return run
 
 
+def _image(compute):
+    """A pandas UDF from an image's four columns to those of another."""
+
+    @F.pandas_udf(IMAGE)
+    def run(width: pd.Series, height: pd.Series, channels: pd.Series, data: pd.Series) -> pd.DataFrame:
+        none = dict.fromkeys(("width", "height", "channels", "data"))
+        out = []
+        for w, h, c, d in zip(width, height, channels, data):
+            x = None if pd.isna(w) or pd.isna(h) or pd.isna(c) else to_array(int(w), int(h), int(c), d)
+            out.append(none if x is None else to_row(np.rint(compute(x))))
+        return pd.DataFrame(out, columns=list(none))
+
+    return run
+
+
 def _columns(prefix: str = "") -> list[Column]:
     return [F.col(prefix + c) for c in ("width", "height", "channels", "data")]
 
@@ -191,13 +206,12 @@ def with_foreground_share(images: DataFrame) -> DataFrame:
 
 def resized(images: DataFrame, side: int) -> DataFrame:
     """Rows with the image resized to a square."""
-    made = _over(lambda x: to_row(np.rint(resize(x, side, side))), IMAGE)
-    return _replace(images, made)
+    return _replace(images, _image(lambda x: resize(x, side, side)))
 
 
 def shrunk(images: DataFrame, long_edge: int) -> DataFrame:
     """Rows downsampled to a long edge; the JPEG round trip of it needs an encoder that isn't here."""
-    return _replace(images, _over(lambda x: to_row(np.rint(downsample(x, long_edge))), IMAGE))
+    return _replace(images, _image(lambda x: downsample(x, long_edge)))
 
 
 def _replace(images: DataFrame, made) -> DataFrame:

@@ -88,13 +88,40 @@ def decode(spark: SparkSession, root: str) -> DataFrame:
     return x.select("path", "width", "height", F.col("nChannels").alias("channels"), "data")
 
 
+def listing(spark: SparkSession, root: str) -> DataFrame:
+    """(path, size) of every file below `root`, empty ones too, which Spark's readers pass over.
+
+    The driver lists the entries of `root` alone; each is walked by a task.
+    """
+    import pandas as pd
+    from pyarrow import fs
+
+    def walk(batches):
+        for pdf in batches:
+            found = []
+            for uri in pdf["uri"]:
+                system, path = fs.FileSystem.from_uri(uri)
+                infos = system.get_file_info([path])
+                if infos[0].type == fs.FileType.Directory:
+                    infos = system.get_file_info(fs.FileSelector(path, recursive=True))
+                found += [(i.path, i.size) for i in infos if i.type == fs.FileType.File]
+            yield pd.DataFrame(found, columns=["path", "size"])
+
+    base = root if "://" in root else f"file://{root}"
+    system, path = fs.FileSystem.from_uri(base)
+    tops = [(base.rstrip("/") + "/" + i.base_name,) for i in system.get_file_info(fs.FileSelector(path))]
+    entries = spark.createDataFrame(tops, "uri string")
+    return entries.repartition(max(1, min(len(tops), 1000))).mapInPandas(walk, "path string, size bigint")
+
+
 def inspect(spark: SparkSession, root: str) -> DataFrame:
     """Every file with its true format, sizes and the reason against it (null if it is usable)."""
-    files = scan(spark, root, None)
+    files = listing(spark, root).withColumn("rel_path", relative(F.col("path"), root)).filter(~is_metadata(F.col("rel_path")))
+    content = scan(spark, root, None).select("path", "content")
     sizes = decode(spark, root).select("path", "width", "height")
-    x = files.join(sizes, "path", "left")
+    x = files.withColumn("ext", extension(F.col("path"))).join(content, "path", "left").join(sizes, "path", "left")
     decodes = F.coalesce(F.col("width") > 0, F.lit(False))
-    reason = rejection(F.col("content").isNotNull(), F.col("size"), F.col("ext"), decodes, F.col("width"), F.col("height"))
+    reason = rejection(F.col("content").isNotNull() | (F.col("size") == 0), F.col("size"), F.col("ext"), decodes, F.col("width"), F.col("height"))
     return x.select("path", "rel_path", "ext", "size", true_format(F.col("content")).alias("true_format"), F.sha2("content", 256).alias("sha256"), F.when(decodes, F.col("width")).alias("width"), F.when(decodes, F.col("height")).alias("height"), reason.alias("reason"))
 
 
