@@ -54,11 +54,14 @@ def drop_family_copies(df: DataFrame, key: str, digits: str, rank: str, limit: i
     The primary record that comes first by (`rank`, source_path) is named. Primary records stay.
     """
     primary, member = df.filter("source = family"), df.filter("source <> family")
-    pairs = near_pairs(member, primary, key, digits, limit, keep=("source_path", rank), same=("class_name", "family"))
-    first = pairs.groupBy("a_id").agg(F.min(F.struct(F.col(f"b_{rank}"), F.col("b_source_path"), F.col("b_id"))).alias("m"))
-    hit = first.select(F.col("a_id").alias(key), F.col("m.b_source_path").alias("__path"))
-    removed = df.join(hit, key)
-    kept = df.join(hit, key, "left_anti").select(*df.columns)
+    named = primary.withColumn("__first", F.struct(F.col(rank), F.col("source_path")))
+    firsts = named.groupBy(digits, "class_name", "family").agg(F.min("__first").alias("__first"), F.min(key).alias(key))
+    pairs = near_pairs(member.select(key, digits, "class_name", "family", F.lit(None).cast(firsts.schema["__first"].dataType).alias("__first")), firsts, key, digits, limit, keep=("__first",), same=("class_name", "family"))
+    first = pairs.groupBy("a_hash", "a_class_name", "a_family").agg(F.min("b___first").alias("m"))
+    hit = first.select(F.col("a_hash").alias(digits), F.col("a_class_name").alias("class_name"), F.col("a_family").alias("family"), F.col("m.source_path").alias("__path"))
+    on = [digits, "class_name", "family"]
+    removed = member.join(hit, on)
+    kept = df.join(hit.withColumn("__hit", F.lit(True)), on, "left").filter("__hit is null or source = family").select(*df.columns)
     return kept, ledger(removed, F.concat(F.lit("near_duplicate_of_"), "family"), uid(F.col("family"), F.col("__path")))
 
 
@@ -72,8 +75,10 @@ def drop_held_out(df: DataFrame, held_out: DataFrame, key: str, contents: list[s
     for c in contents:
         found = df.select(F.col(key).alias("id"), F.col(c).alias("sha256")).join(held_out.select("file", "sha256"), "sha256").select("id", "file", F.lit(-1).alias("apart"))
         exact = found if exact is None else exact.union(found)
-    near = near_pairs(df, held_out.select(F.col("file").alias(key), F.col("phash").alias(digits)), key, digits, limit)
-    notes = exact.union(near.select(F.col("a_id"), F.col("b_id"), F.col("distance"))).groupBy("id", "file").agg(F.min("apart").alias("apart"))
+    slim = df.select(key, digits, F.lit(None).cast("string").alias("file"))
+    classes = near_pairs(slim, held_out.select(F.col("file").alias(key), F.col("phash").alias(digits), "file"), key, digits, limit, keep=("file",))
+    near = df.select(F.col(key).alias("id"), F.col(digits).alias("a_hash")).join(classes.select("a_hash", F.col("b_file").alias("file"), "distance"), "a_hash")
+    notes = exact.union(near.select("id", "file", F.col("distance"))).groupBy("id", "file").agg(F.min("apart").alias("apart"))
     text = F.when(F.col("apart") < 0, F.concat(F.lit("exact "), "file")).otherwise(F.concat(F.lit("near "), "file", F.lit(" ("), F.col("apart").cast("string"), F.lit(" bits)")))
     listed = notes.groupBy("id").agg(F.array_sort(F.collect_list(F.struct((F.col("apart") >= 0).alias("o"), F.col("file"), text.alias("t")))).alias("x"))
     detail = listed.select(F.col("id").alias(key), F.array_join(F.transform("x", lambda s: s["t"]), "; ").alias("__detail"))

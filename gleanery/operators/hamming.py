@@ -1,40 +1,83 @@
 """Pairs of near hashes by an exact banded join.
 
 With a limit of t bits, hashes cut into t + 1 bands agree in at least one: joining on (band,
-value) finds all pairs, and the distance is then tested. Equal hashes are joined once.
+value) finds all pairs, and the distance is then tested. Records with equal hashes are one
+class, which its least record represents: pairs are pairs of classes, so that many copies of
+one image make one row and not all pairs of them. A band value that many classes share is cut
+once more, by t + 1 disjoint parts of the whole hash, of which a pair again shares one.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.functions.scalars import hash_words, word_distance
+from gleanery.runtime import cut
+
+HOT_BAND = 2_000
+
+
+def hash_classes(df: DataFrame, key: str, digits: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """(hash, `by`, representative, n): records of equal hash (and equal `by`) as one row; null hashes are none."""
+    known = df.filter(F.col(digits).isNotNull())
+    return known.groupBy(digits, *by).agg(F.min(key).alias("representative"), F.count("*").alias("n"))
+
+
+def members(df: DataFrame, key: str, digits: str) -> DataFrame:
+    """(key, representative) of each record with a hash."""
+    classes = hash_classes(df, key, digits).select(digits, "representative")
+    return df.join(classes, digits).select(key, "representative")
+
+
+def _cuts(length: int, parts: int) -> list[tuple[int, int]]:
+    at = [length * k // parts for k in range(parts + 1)]
+    return [(a + 1, b - a) for a, b in zip(at, at[1:])]
+
+
+def _finer(digits: Column, limit: int, length: int) -> Column:
+    """Keys within a hot band: every part of the hash is in one of limit + 1 interleaved sets."""
+    parts = _cuts(length, 3 * (limit + 1))
+    return F.array(*(F.xxhash64(F.col("band"), F.lit(g), *(F.substring(digits, a, n) for a, n in parts[g :: limit + 1])) for g in range(limit + 1)))
 
 
 def _banded(df: DataFrame, key: str, digits: str, limit: int, length: int, side: str, keep: list[str]) -> DataFrame:
-    at = [length * k // (limit + 1) for k in range(limit + 2)]
-    bands = F.array(*(F.xxhash64(F.lit(k), F.substring(digits, a + 1, b - a)) for k, (a, b) in enumerate(zip(at, at[1:]))))
-    slim = df.filter(F.length(digits) == length)
-    named = [F.col(key).alias(f"{side}_id"), F.col(digits).alias(f"{side}_hash"), *(F.col(c).alias(f"{side}_{c}") for c in keep)]
-    return slim.select(*named, hash_words(F.col(digits), (length + 15) // 16).alias(f"{side}_words"), F.explode(bands).alias("band"))
+    bands = F.array(*(F.xxhash64(F.lit(k), F.substring(digits, a, n)) for k, (a, n) in enumerate(_cuts(length, limit + 1))))
+    classes = hash_classes(df.filter(F.length(digits) == length), key, digits, tuple(keep))
+    named = [F.col("representative").alias(f"{side}_id"), F.col(digits).alias(f"{side}_hash"), *(F.col(c).alias(f"{side}_{c}") for c in keep)]
+    return classes.select(*named, hash_words(F.col(digits), (length + 15) // 16).alias(f"{side}_words"), F.explode(bands).alias("band"))
 
 
 def near_pairs(a: DataFrame, b: DataFrame | None, key: str, digits: str, limit: int = 5, length: int = 64, keep: tuple[str, ...] = (), same: tuple[str, ...] = ()) -> DataFrame:
-    """(a_id, b_id, distance, a_*, b_*): pairs at most `limit` bits apart, each once.
+    """(a_id, b_id, distance, a_hash, b_hash, a_*, b_*): pairs of classes at most `limit` bits apart, each once.
 
-    Within `a` (`b` None) with a_id < b_id, else between the two. `keep` columns come along;
-    those of `same` must be equal, which then is part of the join. Hashes of other lengths
-    and nulls match nothing.
+    A class holds the records of one hash and equal `keep` and `same` columns; ids are those
+    of representatives, `members` gives the rest. Within `a` (`b` None) with a_id < b_id,
+    else between the two. Columns of `same` must be equal, as part of the join. Hashes of
+    other lengths and nulls match nothing.
     """
     columns = list(dict.fromkeys((*keep, *same)))
-    left = _banded(a, key, digits, limit, length, "a", columns)
-    right = _banded(a if b is None else b, key, digits, limit, length, "b", columns)
+    left = cut(_banded(a, key, digits, limit, length, "a", columns))
+    right = cut(_banded(b, key, digits, limit, length, "b", columns)) if b is not None else left.withColumnsRenamed({c: "b_" + c[2:] for c in left.columns if c != "band"})
+    hot = cut(right.groupBy("band").agg(F.count("*").alias("n")).filter(F.col("n") > HOT_BAND).select("band"))
+    if not hot.isEmpty():
+        mark = hot.withColumn("__hot", F.lit(True))
+        split = lambda x, side: x.join(mark, "band", "left").withColumn("band", F.explode(F.when(F.col("__hot"), _finer(F.col(f"{side}_hash"), limit, length)).otherwise(F.array("band")))).drop("__hot")
+        left, right = split(left, "a"), split(right, "b")
     on = left["band"] == right["band"]
     for c in same:
         on &= left[f"a_{c}"] == right[f"b_{c}"]
     if b is None:
         on &= left["a_id"] < right["b_id"]
-    apart = word_distance(F.col("a_words"), F.col("b_words"), (length + 15) // 16)
-    pairs = left.join(right, on).withColumn("distance", apart).filter(F.col("distance") <= limit)
-    return pairs.select("a_id", "b_id", "distance", *(f"{s}_{c}" for c in columns for s in "ab")).distinct()
+    pairs = left.join(right, on).withColumn("distance", word_distance(F.col("a_words"), F.col("b_words"), (length + 15) // 16))
+    pairs = pairs.filter(F.col("distance") <= limit)
+    return pairs.select("a_id", "b_id", "distance", "a_hash", "b_hash", *(f"{s}_{c}" for c in columns for s in "ab")).distinct()
+
+
+def near_links(df: DataFrame, key: str, digits: str, limit: int = 5, length: int = 64) -> DataFrame:
+    """(a_id, b_id): links that connect all records near each other, directly or through others.
+
+    Pairs of classes, and each record with its class: as many rows as records and pairs of classes.
+    """
+    own = members(df, key, digits).select(F.col("representative").alias("a_id"), F.col(key).alias("b_id")).filter("a_id <> b_id")
+    return near_pairs(df, None, key, digits, limit, length).select("a_id", "b_id").union(own)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.operators.hamming import near_pairs
+from gleanery.runtime import cut
 
 
 def difference(a: DataFrame, b: DataFrame, columns: list[str]) -> DataFrame:
@@ -23,14 +24,18 @@ def straddling(df: DataFrame, key: str, split: str = "split") -> DataFrame:
 
 
 def near_leaks(df: DataFrame, key: str, digits: str, limit: int = 5, split: str = "split") -> DataFrame:
-    """Near pairs across splits."""
+    """Pairs of near classes (of equal hash and split) across splits."""
     known = df.filter(F.col(split).isNotNull())
     pairs = near_pairs(known, None, key, digits, limit, keep=(split,))
     return pairs.filter(F.col(f"a_{split}") != F.col(f"b_{split}"))
 
 
 def checks(df: DataFrame, held_out: DataFrame, key: str = "image_id", limit: int = 5) -> DataFrame:
-    """(name, violations, passed) of the leakage and nesting checks over a pool."""
+    """(name, violations, passed) of the leakage and nesting checks over a pool.
+
+    The pool's columns that the checks need are written once and read by each of them.
+    """
+    df = cut(df.select(key, "sha256", "original_sha256", "phash", "group_id", "split", "in_balanced", "source_path", "converted", "staged_name"))
     held = held_out.select(F.col("sha256").alias("__sha")).filter("__sha is not null").distinct()
     exact = lambda c: df.join(held, df[c] == held["__sha"], "left_semi")
     found = {
@@ -38,7 +43,7 @@ def checks(df: DataFrame, held_out: DataFrame, key: str = "image_id", limit: int
         "group_straddles_splits": straddling(df, "group_id"),
         "near_straddles_splits": near_leaks(df, key, "phash", limit),
         "held_out_exact": exact("sha256").select(key).union(exact("original_sha256").select(key)).distinct(),
-        "held_out_near": near_pairs(df, held_out.select(F.col("file").alias(key), "phash"), key, "phash", limit),
+        "held_out_near": near_pairs(df.select(F.col(key).cast("string").alias(key), "phash"), held_out.select(F.col("file").alias(key), "phash"), key, "phash", limit),
         "balanced_without_split": df.filter("in_balanced and split is null"),
         "webp_left": df.filter("lower(source_path) like '%.webp' and converted is null"),
         "name_collisions": df.groupBy("staged_name").agg(F.count_distinct(key).alias("n")).filter("n > 1"),

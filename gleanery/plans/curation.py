@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gleanery.functions import scalars as S
 from gleanery.functions.names import alias_table, hex_value, resolve
 from gleanery.operators import dedup, graph, profile, verify
-from gleanery.operators.hamming import near_pairs
+from gleanery.operators.hamming import members, near_links, near_pairs
 from gleanery.plans.registry import query
 from gleanery.plans.tables import _HEX, SPLITS, SQL_ALIASES, SQL_HELD, SQL_POOL, SQL_WORDS, classes, held_out, pool, sql_apart, sql_words
 from gleanery.runtime import table
@@ -42,7 +42,7 @@ _SAFE = "regexp_replace(regexp_replace(replace({0}, '/', '_'), '[^A-Za-z0-9._\\-
     || CASE WHEN converted IS NOT NULL THEN regexp_extract(converted, '->(\\w+)$', 1) ELSE lower(regexp_extract(source_path, '\\.([A-Za-z0-9]+)$', 1)) END AS staged FROM pool"""
 )
 def staged_names(spark: SparkSession, d: str) -> DataFrame:
-    return pool(spark, d).select("image_id", S.staged_name(F.col("source"), F.col("source_path"), F.col("converted")).alias("staged"))
+    return pool(spark, d, "source", "source_path", "converted").select("image_id", S.staged_name(F.col("source"), F.col("source_path"), F.col("converted")).alias("staged"))
 
 
 @query("""SELECT batch_no, CASE WHEN width IS NULL OR height IS NULL THEN 'unreadable' WHEN width * height = 0 THEN 'empty'
@@ -73,13 +73,13 @@ def upload_rules(spark: SparkSession, d: str) -> DataFrame:
 
 @query(W_POOL + " SELECT class_name, family, ('0x' || substr(sha256(concat_ws('|', '42', class_name, family)), 1, 16))::UBIGINT::VARCHAR AS seed FROM (SELECT DISTINCT class_name, family FROM pool)")
 def stable_seeds(spark: SparkSession, d: str) -> DataFrame:
-    x = pool(spark, d).select("class_name", "family").distinct()
+    x = pool(spark, d, "class_name", "family").select("class_name", "family").distinct()
     return x.withColumn("seed", S.stable_seed(F.lit("42"), F.col("class_name"), F.col("family")).cast("string"))
 
 
 @query(W_POOL + SQL_WORDS + f" SELECT pair_id, n.distance, ({sql_apart('a.h', 'b.h')}) AS recomputed FROM near_pairs n JOIN w a ON a.image_id = n.image_a JOIN w b ON b.image_id = n.image_b")
 def recomputed_distances(spark: SparkSession, d: str) -> DataFrame:
-    p = pool(spark, d).filter("length(phash) = 64").select("image_id", "phash")
+    p = pool(spark, d, "phash").filter("length(phash) = 64").select("image_id", "phash")
     x = table(spark, d, "near_pairs").select("pair_id", "image_a", "image_b", "distance")
     x = x.join(p.withColumnsRenamed({"image_id": "image_a", "phash": "ha"}), "image_a").join(p.withColumnsRenamed({"image_id": "image_b", "phash": "hb"}), "image_b")
     return x.select("pair_id", "distance", S.hamming(F.col("ha"), F.col("hb")).alias("recomputed"))
@@ -88,7 +88,7 @@ def recomputed_distances(spark: SparkSession, d: str) -> DataFrame:
 @query(W_POOL + " SELECT class_name, count(*) AS n, round(avg(width * height / 1e6), 10) AS megapixels, round(avg(CASE WHEN height = 0 THEN 0.0 ELSE width / height END), 10) AS aspect, format('{:.1f}%', 100.0 * count(width) / count(*)) AS with_size FROM pool GROUP BY class_name")
 def size_stats(spark: SparkSession, d: str) -> DataFrame:
     w, h = F.col("width"), F.col("height")
-    return pool(spark, d).groupBy("class_name").agg(
+    return pool(spark, d, "class_name", "width", "height").groupBy("class_name").agg(
         F.count("*").alias("n"), F.round(F.avg(S.megapixels(w, h)), 10).alias("megapixels"), F.round(F.avg(S.aspect(w, h)), 10).alias("aspect"), S.percent(F.count("width") / F.count("*")).alias("with_size")
     )
 
@@ -102,13 +102,13 @@ def size_stats(spark: SparkSession, d: str) -> DataFrame:
     FROM classes c LEFT JOIN b USING (class_name) LEFT JOIN g USING (class_name)"""
 )
 def corpus_profile(spark: SparkSession, d: str) -> DataFrame:
-    p = pool(spark, d).withColumn("valid", F.col("width").isNotNull() & F.col("height").isNotNull()).withColumn("ext", S.extension(F.col("source_path")))
+    p = pool(spark, d, "class_name", "width", "height", "source_path").withColumn("valid", F.col("width").isNotNull() & F.col("height").isNotNull()).withColumn("ext", S.extension(F.col("source_path")))
     x = profile.corpus_profile(p, classes(spark, d), "valid", "ext")
     return x.withColumns({c: F.round(c, 10) for c in ("share", "mean_width", "mean_height")})
 
 
 def _class_counts(spark: SparkSession, d: str) -> DataFrame:
-    counts = pool(spark, d).groupBy("class_name").agg(F.count("*").alias("n"))
+    counts = pool(spark, d, "class_name").groupBy("class_name").agg(F.count("*").alias("n"))
     return classes(spark, d).join(counts, "class_name", "left").na.fill(0, ["n"])
 
 
@@ -127,13 +127,13 @@ def too_few(spark: SparkSession, d: str) -> DataFrame:
 
 @query(W_POOL + " SELECT sha256, array_to_string(list_sort(list(source || '/' || source_path)), ';') AS members, count(*) AS n FROM pool WHERE sha256 IS NOT NULL GROUP BY sha256 HAVING count(*) > 1")
 def exact_dup_groups(spark: SparkSession, d: str) -> DataFrame:
-    x = dedup.exact_groups(pool(spark, d).withColumn("uid", dedup.uid()), "sha256", "uid")
+    x = dedup.exact_groups(pool(spark, d, "source", "source_path", "sha256").withColumn("uid", dedup.uid()), "sha256", "uid")
     return x.withColumn("members", F.array_join("members", ";"))
 
 
 def _ordered(spark: SparkSession, d: str) -> DataFrame:
     """The pool with its order of scanning: class, source, path, id."""
-    x = pool(spark, d).join(classes(spark, d), "class_name", "left").withColumn("uid", dedup.uid())
+    x = pool(spark, d, "class_name", "source", "family", "source_path", "sha256").join(classes(spark, d), "class_name", "left").withColumn("uid", dedup.uid())
     return x.withColumn("idx", F.coalesce("idx", F.lit(999)))
 
 
@@ -146,7 +146,7 @@ def exact_dedup_global(spark: SparkSession, d: str) -> DataFrame:
 
 @query(W_POOL + ", r AS (SELECT *, row_number() OVER (PARTITION BY class_name, sha256 ORDER BY source || '/' || source_path, image_id) AS k FROM pool) SELECT class_name, count(*) FILTER (sha256 IS NULL OR class_name IS NULL OR k = 1) AS kept, count(*) FILTER (sha256 IS NOT NULL AND class_name IS NOT NULL AND k > 1) AS dropped FROM r GROUP BY class_name")
 def exact_dedup_per_class(spark: SparkSession, d: str) -> DataFrame:
-    kept, removed = dedup.keep_first(pool(spark, d).withColumn("uid", dedup.uid()), ["class_name", "sha256"], ["uid", "image_id"], "uid")
+    kept, removed = dedup.keep_first(pool(spark, d, "class_name", "source", "family", "source_path", "sha256").withColumn("uid", dedup.uid()), ["class_name", "sha256"], ["uid", "image_id"], "uid")
     both = kept.select("class_name", F.lit(1).alias("k")).union(removed.select("class_name", F.lit(0)))
     return both.groupBy("class_name").agg(F.sum("k").alias("kept"), F.sum(1 - F.col("k")).alias("dropped"))
 
@@ -161,7 +161,7 @@ _LEDGER = (
 
 
 def _ledger(spark: SparkSession, d: str) -> DataFrame:
-    kept, copies = dedup.keep_first(pool(spark, d).withColumn("uid", dedup.uid()), ["class_name", "sha256"], ["uid", "image_id"], "uid")
+    kept, copies = dedup.keep_first(pool(spark, d, "class_name", "source", "family", "source_path", "sha256").withColumn("uid", dedup.uid()), ["class_name", "sha256"], ["uid", "image_id"], "uid")
     _, conflicts = dedup.label_conflicts(kept, "sha256", "class_name")
     return copies.unionByName(conflicts)
 
@@ -183,32 +183,46 @@ def removal_counts(spark: SparkSession, d: str) -> DataFrame:
 
 @query(W_POOL + ", bad AS (SELECT sha256 FROM pool WHERE sha256 IS NOT NULL GROUP BY sha256 HAVING count(DISTINCT class_name) > 1) SELECT image_id, class_name FROM pool SEMI JOIN bad USING (sha256)")
 def label_conflict(spark: SparkSession, d: str) -> DataFrame:
-    p = pool(spark, d)
+    p = pool(spark, d, "class_name", "sha256")
     bad = p.filter("sha256 is not null").groupBy("sha256").agg(F.min("class_name").alias("lo"), F.max("class_name").alias("hi")).filter("lo < hi")
     return p.join(bad, "sha256", "left_semi").select("image_id", "class_name")
 
 
-@query(_NEAR + " SELECT a_id, b_id, distance FROM near")
+def _reps(by: str = "") -> str:
+    """Pairs of near classes of equal hash (and `by`), by their least images."""
+    extra = f", {by}" if by else ""
+    words = ", ".join(f"{w} AS h{k}" for k, w in enumerate(sql_words("phash")))
+    r = "WITH " + SQL_POOL + f", r AS (SELECT min(image_id) AS image_id, phash{extra} FROM pool WHERE length(phash) = 64 GROUP BY phash{extra}), w AS (SELECT *, {words} FROM r)"
+    both = f", a.{by} AS a_by, b.{by} AS b_by" if by else ""
+    return r + f", pairs AS (SELECT a.image_id AS a_id, b.image_id AS b_id, {sql_apart('a.h', 'b.h')} AS distance{both} FROM w a JOIN w b ON a.image_id < b.image_id WHERE {sql_apart('a.h', 'b.h')} <= 5)"
+
+
+@query(_reps() + " SELECT a_id, b_id, distance FROM pairs")
 def near_pairs_pool(spark: SparkSession, d: str) -> DataFrame:
-    return near_pairs(pool(spark, d), None, "image_id", "phash")
+    return near_pairs(pool(spark, d, "phash"), None, "image_id", "phash").select("a_id", "b_id", "distance")
+
+
+@query("WITH " + SQL_POOL + " SELECT image_id, min(image_id) OVER (PARTITION BY phash) AS representative FROM pool WHERE phash IS NOT NULL")
+def hash_members(spark: SparkSession, d: str) -> DataFrame:
+    return members(pool(spark, d, "phash"), "image_id", "phash")
 
 
-@query(_NEAR + " SELECT a_id, b_id, distance, a_class AS class_name FROM near WHERE a_class = b_class")
+@query(_reps("class_name") + " SELECT a_id, b_id, distance, a_by AS class_name FROM pairs WHERE a_by = b_by")
 def near_pairs_within_class(spark: SparkSession, d: str) -> DataFrame:
-    x = near_pairs(pool(spark, d), None, "image_id", "phash", same=("class_name",))
+    x = near_pairs(pool(spark, d, "phash", "class_name"), None, "image_id", "phash", same=("class_name",))
     return x.select("a_id", "b_id", "distance", F.col("a_class_name").alias("class_name"))
 
 
 def _grouped(spark: SparkSession, d: str) -> DataFrame:
-    p = pool(spark, d)
-    comp = graph.connected_components(near_pairs(p, None, "image_id", "phash"), "a_id", "b_id")
+    p = pool(spark, d, "phash", "class_name", "source")
+    comp = graph.connected_components(near_links(p, "image_id", "phash"), "a_id", "b_id")
     x = p.join(comp.withColumnRenamed("node", "image_id"), "image_id", "left")
     return x.withColumn("component", F.coalesce("component", "image_id"))
 
 
 @query(_NEAR + _EDGES + " SELECT node AS image_id, component FROM comp")
 def near_components(spark: SparkSession, d: str) -> DataFrame:
-    comp = graph.connected_components(near_pairs(pool(spark, d), None, "image_id", "phash"), "a_id", "b_id")
+    comp = graph.connected_components(near_links(pool(spark, d, "phash"), "image_id", "phash"), "a_id", "b_id")
     return comp.withColumnRenamed("node", "image_id")
 
 
@@ -247,7 +261,7 @@ def overlap_verdict(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_NEAR + " , m AS (SELECT m.image_id, m.class_name, m.family, p.source AS ps, p.source_path AS pp, p.image_id AS pid, row_number() OVER (PARTITION BY m.image_id ORDER BY p.source, p.source_path, p.image_id) AS k FROM w m JOIN w p ON p.source = p.family AND m.source <> m.family AND p.family = m.family AND p.class_name = m.class_name WHERE " + sql_apart("m.h", "p.h") + " <= 5) SELECT image_id, 'near_duplicate_of_' || family AS reason, family || '/' || pp AS kept_instead FROM m WHERE k = 1")
 def family_near_dedup(spark: SparkSession, d: str) -> DataFrame:
-    p = pool(spark, d).withColumn("rank", F.col("source"))
+    p = pool(spark, d, "class_name", "source", "family", "source_path", "sha256", "phash").withColumn("rank", F.col("source"))
     _, removed = dedup.drop_family_copies(p, "image_id", "phash", "rank")
     named = removed.join(p.select("image_id", "source", "source_path"), ["source", "source_path"])
     return named.select("image_id", "reason", "kept_instead")
@@ -274,24 +288,24 @@ def heldout_overlap(spark: SparkSession, d: str) -> DataFrame:
     return removed.select(F.col("source").cast("bigint").alias("intake_id"), "detail")
 
 
-@query(_NEAR + " SELECT a_id, b_id, distance FROM near WHERE a_split <> b_split")
+@query(_reps("split") + " SELECT a_id, b_id, distance FROM pairs WHERE a_by <> b_by")
 def leakage_check(spark: SparkSession, d: str) -> DataFrame:
-    return verify.near_leaks(pool(spark, d), "image_id", "phash").select("a_id", "b_id", "distance")
+    return verify.near_leaks(pool(spark, d, "phash", "split"), "image_id", "phash").select("a_id", "b_id", "distance")
 
 
 @query(W_POOL + " SELECT c.class_name, count(*) FILTER (split = 'train') AS train, count(*) FILTER (split = 'validation') AS validation, count(*) FILTER (split = 'test') AS test, count(p.image_id) AS total FROM classes c LEFT JOIN pool p USING (class_name) GROUP BY c.class_name")
 def split_counts(spark: SparkSession, d: str) -> DataFrame:
-    return profile.split_counts(pool(spark, d), classes(spark, d), SPLITS)
+    return profile.split_counts(pool(spark, d, "class_name", "split"), classes(spark, d), SPLITS)
 
 
 @query(W_POOL + " SELECT grouping(class_name, split, family, source) AS level, class_name, split, family, source, count(*) AS n FROM pool GROUP BY GROUPING SETS ((class_name, split), (class_name, family), (class_name, source), (class_name, split, family), (class_name), (split))")
 def variant_summary(spark: SparkSession, d: str) -> DataFrame:
-    return profile.variant_summary(pool(spark, d))
+    return profile.variant_summary(pool(spark, d, "class_name", "split", "family", "source"))
 
 
 @query(W_POOL + " SELECT class_name, source, count(*) AS expected FROM pool WHERE class_name IS NOT NULL GROUP BY ALL")
 def expected_counts(spark: SparkSession, d: str) -> DataFrame:
-    return pool(spark, d).filter("class_name is not null").groupBy("class_name", "source").agg(F.count("*").alias("expected"))
+    return pool(spark, d, "class_name", "source").filter("class_name is not null").groupBy("class_name", "source").agg(F.count("*").alias("expected"))
 
 
 @query(W_POOL + ", s AS (SELECT class_name, source, count(*) AS n FROM pool WHERE class_name IS NOT NULL GROUP BY ALL) SELECT class_name, count(*) AS sources, sum(n)::BIGINT AS total, round(max(n) / sum(n), 10) AS largest_share FROM s GROUP BY class_name")
@@ -301,13 +315,13 @@ def largest_source_share(spark: SparkSession, d: str) -> DataFrame:
 
 @query(W_POOL + ", e AS (SELECT source, count(*) AS expected FROM pool GROUP BY source), f AS (SELECT source, count(*) AS found FROM pool WHERE in_balanced GROUP BY source) SELECT source, coalesce(expected, 0) AS expected, coalesce(found, 0) AS found FROM e FULL JOIN f USING (source) WHERE abs(coalesce(found, 0) - coalesce(expected, 0)) > greatest(5.0, coalesce(expected, 0) * 0.1)")
 def count_drift(spark: SparkSession, d: str) -> DataFrame:
-    p = pool(spark, d)
+    p = pool(spark, d, "source", "in_balanced")
     return profile.count_drift(p.groupBy("source").agg(F.count("*").alias("expected")), p.filter("in_balanced").groupBy("source").agg(F.count("*").alias("found")), ["source"])
 
 
 @query(W_POOL + ", a AS (SELECT DISTINCT source || '/' || source_path AS uid FROM pool), b AS (SELECT DISTINCT kept_instead AS uid FROM removed_images WHERE kept_instead IS NOT NULL) SELECT uid, 'left' AS only_in, 1::BIGINT AS n FROM a ANTI JOIN b USING (uid) UNION ALL SELECT uid, 'right', 1 FROM b ANTI JOIN a USING (uid)")
 def manifest_diff(spark: SparkSession, d: str) -> DataFrame:
-    a = pool(spark, d).select(dedup.uid().alias("uid")).distinct()
+    a = pool(spark, d, "source", "source_path").select(dedup.uid().alias("uid")).distinct()
     b = table(spark, d, "removed_images").select(F.col("kept_instead").alias("uid")).filter("uid is not null").distinct()
     return verify.difference(a, b, ["uid"])
 
@@ -315,11 +329,11 @@ def manifest_diff(spark: SparkSession, d: str) -> DataFrame:
 _STRADDLE = "(SELECT count(*) FROM (SELECT {0} FROM pool WHERE {0} IS NOT NULL AND split IS NOT NULL GROUP BY {0} HAVING count(DISTINCT split) > 1))"
 _CHECKS = (
     _HELD
-    + f", near AS (SELECT a.image_id FROM w a JOIN w b ON a.image_id < b.image_id AND a.split <> b.split WHERE {sql_apart('a.h', 'b.h')} <= 5)"
+    + f", q AS (SELECT phash, split, min(image_id) AS image_id, any_value(h0) AS h0, any_value(h1) AS h1, any_value(h2) AS h2, any_value(h3) AS h3 FROM w WHERE split IS NOT NULL GROUP BY phash, split), near AS (SELECT a.image_id FROM q a JOIN q b ON a.image_id < b.image_id AND a.split <> b.split WHERE {sql_apart('a.h', 'b.h')} <= 5)"
     + ", v AS (SELECT 'exact_straddles_splits' AS name, " + _STRADDLE.format("sha256") + " AS violations UNION ALL SELECT 'group_straddles_splits', " + _STRADDLE.format("group_id")
     + """ UNION ALL SELECT 'near_straddles_splits', (SELECT count(*) FROM near)
     UNION ALL SELECT 'held_out_exact', (SELECT count(DISTINCT image_id) FROM hits WHERE apart < 0)
-    UNION ALL SELECT 'held_out_near', (SELECT count(*) FROM (SELECT DISTINCT image_id, file, apart FROM hits WHERE apart >= 0))
+    UNION ALL SELECT 'held_out_near', (SELECT count(*) FROM (SELECT DISTINCT phash, h2.file FROM hits h2 JOIN pool USING (image_id) WHERE apart >= 0))
     UNION ALL SELECT 'balanced_without_split', (SELECT count(*) FROM pool WHERE in_balanced AND split IS NULL)
     UNION ALL SELECT 'webp_left', (SELECT count(*) FROM pool WHERE lower(source_path) LIKE '%.webp' AND converted IS NULL)
     UNION ALL SELECT 'name_collisions', (SELECT count(*) FROM (SELECT staged_name FROM pool GROUP BY staged_name HAVING count(DISTINCT image_id) > 1)))"""
@@ -328,7 +342,7 @@ _CHECKS = (
 
 @query(_CHECKS + " SELECT name, violations, violations = 0 AS passed FROM v")
 def verify_checks(spark: SparkSession, d: str) -> DataFrame:
-    return verify.checks(pool(spark, d), held_out(spark, d))
+    return verify.checks(pool(spark, d, "sha256", "original_sha256", "phash", "group_id", "split", "in_balanced", "source_path", "converted", "staged_name"), held_out(spark, d))
 
 
 @query(_CHECKS + " SELECT count(*) FILTER (violations = 0) AS passed_checks, count(*) AS checks, bool_and(violations = 0) AS passed FROM v")

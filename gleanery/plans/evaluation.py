@@ -46,12 +46,12 @@ _TP = W_PRED + """, k AS (SELECT * FROM pred WHERE actual_class IS NOT NULL), a
 
 @query(_TP + " SELECT idx, class_name, support, n_predicted, true_positives, round(precision, 10) AS precision, round(recall, 10) AS recall, round(f1, 10) AS f1, round(accuracy, 10) AS accuracy, round(conf, 10) AS mean_confidence FROM f")
 def per_class_metrics(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(metrics.per_class(predictions(spark, d), classes(spark, d)), "precision", "recall", "f1", "accuracy", "mean_confidence")
+    return rounded(metrics.per_class(predictions(spark, d, "prediction_id"), classes(spark, d)), "precision", "recall", "f1", "accuracy", "mean_confidence")
 
 
 @query(_TP + " SELECT sum(support)::BIGINT AS n, round(sum(true_positives) / sum(support), 10) AS accuracy, " + ", ".join(f"round(avg({m}), 10) AS macro_{m}, round(sum({m} * support) / sum(support), 10) AS weighted_{m}" for m in ("precision", "recall", "f1")) + " FROM f")
 def overall_metrics(spark: SparkSession, d: str) -> DataFrame:
-    x = metrics.overall(predictions(spark, d), classes(spark, d))
+    x = metrics.overall(predictions(spark, d, "prediction_id"), classes(spark, d))
     return rounded(x, *(c for c in x.columns if c != "n"))
 
 
@@ -60,7 +60,7 @@ _CONF = W_PRED + ", n AS (SELECT actual_class, predicted_class, count(*) AS n FR
 
 @query(_CONF + " SELECT actual_idx, predicted_idx, actual_class, predicted_class, n, share FROM ms")
 def confusion_matrix(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(metrics.confusion(predictions(spark, d), classes(spark, d)), "share")
+    return rounded(metrics.confusion(predictions(spark, d, "prediction_id"), classes(spark, d)), "share")
 
 
 @query(_CONF + " SELECT actual_class, predicted_class, n, share FROM ms WHERE n > 0 AND actual_idx <> predicted_idx ORDER BY n DESC, actual_idx, predicted_idx LIMIT 5")
@@ -70,7 +70,7 @@ def confusion_topk(spark: SparkSession, d: str) -> DataFrame:
 
 @query(W_PRED + " SELECT round(avg(confidence), 10) AS mean_all, round(avg(confidence) FILTER (actual_class = predicted_class), 10) AS mean_correct, round(avg(confidence) FILTER (actual_class <> predicted_class), 10) AS mean_wrong FROM pred WHERE actual_class IS NOT NULL")
 def mean_confidence(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(metrics.mean_confidences(predictions(spark, d)), "mean_all", "mean_correct", "mean_wrong")
+    return rounded(metrics.mean_confidences(predictions(spark, d, "prediction_id")), "mean_all", "mean_correct", "mean_wrong")
 
 
 LEVELS = [0.5, 0.6, 0.7, 0.8, 0.9, 0.95]
@@ -78,17 +78,17 @@ LEVELS = [0.5, 0.6, 0.7, 0.8, 0.9, 0.95]
 
 @query(W_PRED + f", t AS (SELECT unnest({LEVELS})::DOUBLE AS threshold), k AS (SELECT confidence, (actual_class = predicted_class)::INT AS hit FROM pred WHERE actual_class IS NOT NULL) SELECT threshold, count(*) FILTER (confidence >= threshold) AS n_above, round(count(*) FILTER (confidence >= threshold) / count(*), 10) AS coverage, round(avg(hit) FILTER (confidence >= threshold), 10) AS accuracy_above, round(avg(hit) FILTER (NOT confidence >= threshold), 10) AS accuracy_below FROM k CROSS JOIN t GROUP BY threshold")
 def threshold_analysis(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(metrics.thresholds(predictions(spark, d), LEVELS), "coverage", "accuracy_above", "accuracy_below")
+    return rounded(metrics.thresholds(predictions(spark, d, "prediction_id"), LEVELS), "coverage", "accuracy_above", "accuracy_below")
 
 
 @query(W_PRED + ", k AS (SELECT * FROM pred WHERE actual_class IS NOT NULL), g AS (SELECT actual_class, count(*) AS n, count(*) FILTER (predicted_class <> actual_class) AS errors, avg(confidence) FILTER (predicted_class <> actual_class) AS mw FROM k GROUP BY 1), w AS (SELECT actual_class, predicted_class, row_number() OVER (PARTITION BY actual_class ORDER BY count(*) DESC, any_value(idx)) AS r FROM k JOIN classes c ON c.class_name = predicted_class WHERE predicted_class <> actual_class GROUP BY 1, 2) SELECT c.class_name AS actual_class, coalesce(n, 0) AS n, coalesce(errors, 0) AS errors, round(errors / n, 10) AS error_rate, round(mw, 10) AS mean_confidence_wrong, w.predicted_class AS most_common_wrong FROM classes c LEFT JOIN g ON g.actual_class = c.class_name LEFT JOIN w ON w.actual_class = c.class_name AND w.r = 1")
 def error_per_class(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(metrics.errors_per_class(predictions(spark, d), classes(spark, d)), "error_rate", "mean_confidence_wrong")
+    return rounded(metrics.errors_per_class(predictions(spark, d, "prediction_id"), classes(spark, d)), "error_rate", "mean_confidence_wrong")
 
 
 @query(W_PRED + " SELECT prediction_id, actual_class, predicted_class, confidence FROM pred WHERE actual_class <> predicted_class AND NOT low_confidence ORDER BY confidence DESC, prediction_id LIMIT 25")
 def confident_errors(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.confident_errors(predictions(spark, d), "prediction_id")
+    return metrics.confident_errors(predictions(spark, d, "prediction_id"), "prediction_id")
 
 
 def _band(n: int) -> str:
@@ -97,22 +97,22 @@ def _band(n: int) -> str:
 
 @query(W_PRED + f" SELECT {_band(20)} AS band, count(*) AS n FROM pred WHERE confidence IS NOT NULL GROUP BY 1")
 def confidence_histogram(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.bands(predictions(spark, d), 20).select("band", "n")
+    return metrics.bands(predictions(spark, d, "prediction_id"), 20).select("band", "n")
 
 
 @query(W_PRED + f" SELECT model_version, {_band(5)} AS band, count(*) AS n, round(avg((actual_class = predicted_class)::INT), 10) AS accuracy, round(avg(confidence), 10) AS mean_confidence FROM pred WHERE confidence IS NOT NULL GROUP BY 1, 2")
 def calibration_bands(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(metrics.bands(predictions(spark, d), 5, ["model_version"]), "accuracy", "mean_confidence")
+    return rounded(metrics.bands(predictions(spark, d, "prediction_id"), 5, ["model_version"]), "accuracy", "mean_confidence")
 
 
 @query(W_PRED + " SELECT model_version, count(*) AS n, round(avg((actual_class = predicted_class)::INT), 10) AS accuracy, round(avg(confidence), 10) AS mean_confidence, round(avg(confidence) FILTER (actual_class = predicted_class), 10) AS mean_correct, round(avg(confidence) FILTER (actual_class <> predicted_class), 10) AS mean_wrong, count(*) FILTER (actual_class <> predicted_class AND NOT low_confidence) AS confident_errors FROM pred WHERE actual_class IS NOT NULL GROUP BY 1")
 def scorecard(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(metrics.scorecard(predictions(spark, d)), "accuracy", "mean_confidence", "mean_correct", "mean_wrong")
+    return rounded(metrics.scorecard(predictions(spark, d, "prediction_id")), "accuracy", "mean_confidence", "mean_correct", "mean_wrong")
 
 
 @query(W_PRED + " SELECT CASE WHEN predicted_class IS NULL THEN 'failed' WHEN actual_class IS NULL THEN 'unlabelled' ELSE 'labelled' END AS status, count(*) AS n FROM pred GROUP BY 1")
 def row_status(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.row_status(predictions(spark, d))
+    return metrics.row_status(predictions(spark, d, "prediction_id"))
 
 
 _COND = W_PRED + ", " + SQL_MANIFEST + f", mm AS (SELECT *, row_number() OVER (ORDER BY file, lighting, background, distance, angle, quality) - 1 AS k FROM (SELECT DISTINCT file, lighting, background, distance, angle, quality FROM man)), kk AS (SELECT count(*) AS m FROM mm), rows AS (SELECT pred.*, {_ENTROPY} > 0.8 OR {_RANKED}[1] - {_RANKED}[2] < 0.1 OR list_max({_P}) < 0.6 AS uncertain, mm.* EXCLUDE (file, k) FROM pred, kk JOIN mm ON mm.k = prediction_id % m WHERE actual_class IS NOT NULL), ent AS (SELECT unnest([{{'d': 'overall', 'v': 'all'}}, {{'d': 'class', 'v': actual_class}}, " + ", ".join(f"{{{{'d': '{c}', 'v': {c}}}}}".replace("{{", "{").replace("}}", "}") for c in metrics.CONDITIONS) + "]) AS e, (actual_class = predicted_class)::INT AS hit, confidence, low_confidence, uncertain FROM rows)"
@@ -135,7 +135,7 @@ def condition_breakdown(spark: SparkSession, d: str) -> DataFrame:
 
 @query(W_PRED + ", c AS (SELECT class_name, idx, count(prediction_id) AS n FROM classes LEFT JOIN pred ON actual_class = class_name GROUP BY ALL), r AS (SELECT *, CASE WHEN n > 0 THEN sum(n) OVER () / (count(*) FILTER (n > 0) OVER () * n) ELSE 1.0 END AS raw FROM c) SELECT class_name, n, round(raw / avg(raw) OVER (), 10) AS weight FROM r")
 def class_weights(spark: SparkSession, d: str) -> DataFrame:
-    n = predictions(spark, d).filter("actual_class is not null").groupBy(F.col("actual_class").alias("class_name")).agg(F.count("*").alias("n"))
+    n = predictions(spark, d, "prediction_id").filter("actual_class is not null").groupBy(F.col("actual_class").alias("class_name")).agg(F.count("*").alias("n"))
     counts = classes(spark, d).select("class_name").join(n, "class_name", "left").na.fill(0, ["n"])
     return rounded(metrics.class_weights(counts), "weight")
 
@@ -145,8 +145,8 @@ _QUAL = "WITH " + SQL_POOL + SQL_PRED[SQL_PRED.index(", pred AS") :] + """, q AS
 
 
 def _quality(spark: SparkSession, d: str) -> DataFrame:
-    sizes = pool(spark, d).select("image_id", S.megapixels(F.col("width"), F.col("height")).alias("megapixels"), S.aspect(F.col("width"), F.col("height")).alias("aspect"))
-    return metrics.quality_comparison(predictions(spark, d).join(sizes, "image_id"), ["megapixels", "aspect", "confidence"])
+    sizes = pool(spark, d, "width", "height").select("image_id", S.megapixels(F.col("width"), F.col("height")).alias("megapixels"), S.aspect(F.col("width"), F.col("height")).alias("aspect"))
+    return metrics.quality_comparison(predictions(spark, d, "image_id").join(sizes, "image_id"), ["megapixels", "aspect", "confidence"])
 
 
 @query(_QUAL + " SELECT metric, outcome, round(mean, 10) AS mean, round(std, 10) AS std, n FROM g")
@@ -164,7 +164,7 @@ _PAIR = ", v AS (SELECT filename, max(predicted_class) FILTER (model_version = '
 
 @query(W_PRED + _PAIR + " SELECT filename, p AS before, q AS after, CASE WHEN a IS NULL THEN 'not scored' WHEN q = a THEN 'fixed' WHEN p = a THEN 'broken' ELSE 'still wrong' END AS change FROM v WHERE p <> q")
 def model_changes(spark: SparkSession, d: str) -> DataFrame:
-    return compare.model_changes(predictions(spark, d), "filename", "v3_full", "v3_balanced")
+    return compare.model_changes(predictions(spark, d, "filename"), "filename", "v3_full", "v3_balanced")
 
 
 VERSIONS = ["v2", "v3_balanced", "v3_full"]
@@ -172,13 +172,13 @@ VERSIONS = ["v2", "v3_balanced", "v3_full"]
 
 @query(W_PRED + " SELECT filename, " + ", ".join(f"max(predicted_class) FILTER (model_version = '{v}') AS {v}" for v in VERSIONS) + " FROM pred GROUP BY filename")
 def version_cells(spark: SparkSession, d: str) -> DataFrame:
-    return compare.version_cells(predictions(spark, d), "filename", VERSIONS)
+    return compare.version_cells(predictions(spark, d, "filename"), "filename", VERSIONS)
 
 
 @query(W_PRED + ", m AS (SELECT model_version, actual_class AS class_name, avg((actual_class = predicted_class)::INT) AS recall FROM pred WHERE actual_class IS NOT NULL GROUP BY ALL) SELECT c.class_name, " + ", ".join(f"round(coalesce(max(recall) FILTER (model_version = '{v}'), 0.0), 10) AS {v}" for v in VERSIONS) + " FROM classes c LEFT JOIN m USING (class_name) GROUP BY c.class_name")
 def model_side_by_side(spark: SparkSession, d: str) -> DataFrame:
     hit = (F.col("actual_class") == F.col("predicted_class")).cast("int")
-    m = predictions(spark, d).filter("actual_class is not null").groupBy(F.col("actual_class").alias("class_name")).agg(*(F.avg(F.when(F.col("model_version") == v, hit)).alias(v) for v in VERSIONS))
+    m = predictions(spark, d, "prediction_id").filter("actual_class is not null").groupBy(F.col("actual_class").alias("class_name")).agg(*(F.avg(F.when(F.col("model_version") == v, hit)).alias(v) for v in VERSIONS))
     x = classes(spark, d).select("class_name").join(m, "class_name", "left").na.fill(0.0)
     return rounded(x, *VERSIONS)
 
@@ -189,15 +189,15 @@ _DELTA = "WITH " + SQL_POOL + SQL_PRED[SQL_PRED.index(", pred AS") :] + """, v A
 
 @query(_DELTA + " SELECT a AS actual_class, count(*) AS n, round(avg((p = a)::INT), 10) AS accuracy_before, round(avg((q = a)::INT), 10) AS accuracy_after, round(avg((q = a)::INT) - avg((p = a)::INT), 10) AS delta, count(*) FILTER (p <> q) AS changed, round(median(mp), 10) AS median_megapixels FROM k GROUP BY a")
 def paired_delta_median(spark: SparkSession, d: str) -> DataFrame:
-    sizes = pool(spark, d).select("image_id", S.megapixels(F.col("width"), F.col("height")).alias("megapixels"))
-    x = compare.paired_deltas(predictions(spark, d).join(sizes, "image_id", "left"), "image_id", "v2", "v3_full")
+    sizes = pool(spark, d, "width", "height").select("image_id", S.megapixels(F.col("width"), F.col("height")).alias("megapixels"))
+    x = compare.paired_deltas(predictions(spark, d, "image_id").join(sizes, "image_id", "left"), "image_id", "v2", "v3_full")
     return rounded(x, "accuracy_before", "accuracy_after", "delta", "median_megapixels")
 
 
 @query(W_PRED + " SELECT actual_class, round(avg((predicted_class = actual_class)::INT) FILTER (NOT c), 10) AS accuracy_plain, round(avg((predicted_class = actual_class)::INT) FILTER (c), 10) AS accuracy_composite, round(avg((predicted_class = 'Healthy')::INT) FILTER (c), 10) AS called_background, round(avg(confidence) FILTER (c AND predicted_class <> actual_class), 10) AS confidence_wrong, round(avg((predicted_class = actual_class)::INT) FILTER (NOT c) - avg((predicted_class = actual_class)::INT) FILTER (c), 10) AS drop FROM (SELECT *, model_version = 'v2' AS c FROM pred) WHERE actual_class IS NOT NULL GROUP BY 1")
 def background_robustness(spark: SparkSession, d: str) -> DataFrame:
     """One version's rows stand for the composites, whose backgrounds are of the class Healthy."""
-    x = predictions(spark, d).withColumn("composite", F.col("model_version") == "v2").withColumn("background_class", F.lit("Healthy"))
+    x = predictions(spark, d, "prediction_id").withColumn("composite", F.col("model_version") == "v2").withColumn("background_class", F.lit("Healthy"))
     return rounded(compare.background_robustness(x), "accuracy_plain", "accuracy_composite", "called_background", "confidence_wrong", "drop")
 
 
@@ -223,7 +223,7 @@ def nearest_profile(spark: SparkSession, d: str) -> DataFrame:
 @query(W_PRED + ", s AS (SELECT model_version AS version, unnest([{'k': 'rows', 'v': count(*)::VARCHAR}, {'k': 'classes', 'v': count(DISTINCT predicted_class)::VARCHAR}, {'k': 'labels', 'v': '9'}]) AS e FROM pred GROUP BY 1), n AS (SELECT count(DISTINCT version) AS n FROM s) SELECT e.k AS setting, string_agg(version || '=' || e.v, ', ' ORDER BY version) AS values FROM s GROUP BY 1 HAVING count(DISTINCT e.v) > 1 OR count(e.v) < (SELECT n FROM n)")
 def config_differences(spark: SparkSession, d: str) -> DataFrame:
     """Settings here are facts of each version's predictions."""
-    x = predictions(spark, d).groupBy(F.col("model_version").alias("version")).agg(F.count("*").cast("string").alias("rows"), F.count_distinct("predicted_class").cast("string").alias("classes"))
+    x = predictions(spark, d, "prediction_id").groupBy(F.col("model_version").alias("version")).agg(F.count("*").cast("string").alias("rows"), F.count_distinct("predicted_class").cast("string").alias("classes"))
     entries = F.array(*(F.struct(F.lit(k).alias("setting"), v.alias("value")) for k, v in (("rows", F.col("rows")), ("classes", F.col("classes")), ("labels", F.lit("9")))))
     return compare.config_differences(x.select("version", F.explode(entries).alias("e")).select("version", "e.*"))
 
@@ -231,7 +231,7 @@ def config_differences(spark: SparkSession, d: str) -> DataFrame:
 @query(W_PRED + ", t AS (SELECT actual_class, count(*) AS n FROM pred WHERE actual_class IS NOT NULL AND file LIKE 'train/%' GROUP BY 1 ORDER BY n DESC, actual_class LIMIT 1) SELECT t.actual_class AS majority, round(avg((p.actual_class = t.actual_class)::INT), 10) AS accuracy, round(1.0 / (SELECT count(*) FROM classes), 10) AS chance FROM pred p, t WHERE p.actual_class IS NOT NULL AND p.file LIKE 'test/%' GROUP BY 1")
 def baseline_majority(spark: SparkSession, d: str) -> DataFrame:
     """The class most frequent in train, scored on test."""
-    x = predictions(spark, d).filter("actual_class is not null")
+    x = predictions(spark, d, "file").filter("actual_class is not null")
     top = x.filter("file like 'train/%'").groupBy("actual_class").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "actual_class").first()
     name = top["actual_class"] if top else None
     hit = (F.col("actual_class") == F.lit(name)).cast("int")

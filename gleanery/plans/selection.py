@@ -26,7 +26,7 @@ _EVEN_SELECTED = """SELECT class_name, source, available, (CASE WHEN used = 1 TH
 
 
 def _supply(spark: SparkSession, d: str) -> DataFrame:
-    return pool(spark, d).filter("class_name is not null and source is not null").groupBy("class_name", "source").agg(F.count("*").alias("available"))
+    return pool(spark, d, "class_name", "source").filter("class_name is not null and source is not null").groupBy("class_name", "source").agg(F.count("*").alias("available"))
 
 
 @query(_SUPPLY + f", bs AS (SELECT *, floor(sum(available) OVER (PARTITION BY class_name) * {BUDGET})::BIGINT AS budget FROM supply) " + _EVEN_SELECTED.format("bs", ""))
@@ -44,7 +44,7 @@ def sampling_plan(spark: SparkSession, d: str) -> DataFrame:
     s AS (SELECT *, n / sum(n) OVER (PARTITION BY class_name) * 100 AS exact FROM c), f AS (SELECT *, floor(exact)::BIGINT AS fl, 100 - sum(floor(exact)) OVER (PARTITION BY class_name) AS short FROM s),
     k AS (SELECT *, row_number() OVER (PARTITION BY class_name ORDER BY round(exact - fl, 9) DESC, split) AS turn FROM f) SELECT class_name, split, n, fl + CASE WHEN turn <= short THEN 1 ELSE 0 END AS seats FROM k""")
 def largest_remainder(spark: SparkSession, d: str) -> DataFrame:
-    counts = pool(spark, d).filter("class_name is not null and split is not null").groupBy("class_name", "split").agg(F.count("*").alias("n"))
+    counts = pool(spark, d, "class_name", "split").filter("class_name is not null and split is not null").groupBy("class_name", "split").agg(F.count("*").alias("n"))
     share = F.col("n") / F.sum("n").over(W.partitionBy("class_name"))
     return allocate.largest_remainder(counts.withColumn("share", share), ["class_name"], "split", F.col("share"), F.lit(100)).drop("share")
 
@@ -54,7 +54,7 @@ _STRIDE = "(k >= n OR (2 * k * (r + 1) + n - 1) // (2 * n) > (2 * k * r + n - 1)
 
 @query(W_POOL + f", r AS (SELECT image_id, class_name, row_number() OVER (PARTITION BY class_name ORDER BY image_id) - 1 AS r, count(*) OVER (PARTITION BY class_name) AS n FROM pool WHERE class_name IS NOT NULL), t AS (SELECT *, floor(n * {BUDGET})::BIGINT AS k FROM r) SELECT image_id, class_name FROM t WHERE {_STRIDE}")
 def stride_select(spark: SparkSession, d: str) -> DataFrame:
-    p = pool(spark, d).filter("class_name is not null").select("image_id", "class_name")
+    p = pool(spark, d, "class_name").filter("class_name is not null").select("image_id", "class_name")
     sizes = p.groupBy("class_name").agg(F.count("*").alias("n")).withColumn("k", F.floor(F.col("n") * BUDGET).cast("bigint"))
     return allocate.stride_select(p.join(sizes, "class_name"), ["class_name"], "image_id", "k", "n").select("image_id", "class_name")
 
@@ -70,7 +70,7 @@ _GROUPS = W_POOL + """, members AS (SELECT *, CASE WHEN group_id >= 0 THEN 'g' |
 
 def _assigned(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     grp = F.when(F.col("group_id") >= 0, F.concat(F.lit("g"), "group_id")).otherwise(F.concat(F.lit("i"), "image_id"))
-    members = pool(spark, d).withColumn("grp", grp)
+    members = pool(spark, d, "group_id", "class_name", "family").withColumn("grp", grp)
     first = lambda c: F.min_by(F.coalesce(c, F.lit("")), "image_id")
     groups = members.groupBy("grp").agg(F.count("*").alias("n"), first("class_name").alias("k1"), first("family").alias("k2"))
     return members, allocate.greedy_split(groups, ["k1", "k2"], "grp", "n", 0.125, 0.125, SEED)
@@ -106,7 +106,7 @@ _BALANCED = (
 @query(_BALANCED)
 def balanced_nested(spark: SparkSession, d: str) -> DataFrame:
     """Cap by class, remainders over splits, even over families, strides within a family."""
-    p = pool(spark, d).filter("class_name is not null and split is not null").select("image_id", "class_name", "split", F.coalesce("family", F.lit("")).alias("family"))
+    p = pool(spark, d, "class_name", "split", "family").filter("class_name is not null and split is not null").select("image_id", "class_name", "split", F.coalesce("family", F.lit("")).alias("family"))
     cells = p.groupBy("class_name", "split", "family").agg(F.count("*").alias("available"))
     c = cells.groupBy("class_name", "split").agg(F.sum("available").alias("n"))
     c = c.withColumn("total", F.sum("n").over(W.partitionBy("class_name")))
@@ -122,7 +122,7 @@ def balanced_nested(spark: SparkSession, d: str) -> DataFrame:
 def audit_sample(spark: SparkSession, d: str) -> DataFrame:
     """A seeded sample of 60 images of one class, by stable priority."""
     order = F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(str(SEED)), "image_id"), 256), 1, 16), 16, -10).cast("bigint")
-    return pool(spark, d).filter("class_name = 'Brown Rust'").orderBy(order, "image_id").limit(60).select("image_id", "staged_name")
+    return pool(spark, d, "staged_name", "class_name").filter("class_name = 'Brown Rust'").orderBy(order, "image_id").limit(60).select("image_id", "staged_name")
 
 
 @query(W_POOL + ", k AS (SELECT image_id, source, image_id % 7 + 1 AS w, sum(image_id % 7 + 1) OVER (PARTITION BY source ORDER BY image_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM pool) SELECT image_id, source, coalesce(b, 0)::BIGINT AS before FROM k")
@@ -130,6 +130,6 @@ def running_weight(spark: SparkSession, d: str) -> DataFrame:
     """Running sums within sources by image, as the allocation operators use them."""
     from gleanery.operators.ordering import before_by_sort
 
-    return before_by_sort(pool(spark, d).select("image_id", "source"), ["source"], ["image_id"], F.col("image_id") % 7 + 1).select("image_id", "source", "before")
+    return before_by_sort(pool(spark, d, "source").select("image_id", "source"), ["source"], ["image_id"], F.col("image_id") % 7 + 1).select("image_id", "source", "before")
 
 

@@ -18,13 +18,16 @@ def classes(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "classes").select("idx", "class_name")
 
 
-def pool(spark: SparkSession, d: str) -> DataFrame:
-    """Accepted images, deliveries of one image combined."""
-    x = table(spark, d, "pool_images").select(*POOL_COLUMNS).distinct()
-    x = x.withColumns({c: hex_value(F.col(c)) for c in ("sha256", "original_sha256", "phash")})
-    x = resolve(x.withColumnRenamed("class_name", "raw_class"), "raw_class", alias_table(table(spark, d, "classes"), "class_name"), "class_name")
-    x = resolve(x.withColumnRenamed("split", "raw_split"), "raw_split", alias_table(table(spark, d, "split_targets"), "split_name"), "split")
-    return x.select(*POOL_COLUMNS)
+def pool(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """Accepted images, deliveries of one image combined. Only `columns` (all if none) are read."""
+    wanted = ["image_id", *(c for c in columns or POOL_COLUMNS if c != "image_id")]
+    x = table(spark, d, "pool_images").select(*wanted).distinct()
+    x = x.withColumns({c: hex_value(F.col(c)) for c in ("sha256", "original_sha256", "phash") if c in wanted})
+    if "class_name" in wanted:
+        x = resolve(x.withColumnRenamed("class_name", "raw_class"), "raw_class", alias_table(table(spark, d, "classes"), "class_name"), "class_name")
+    if "split" in wanted:
+        x = resolve(x.withColumnRenamed("split", "raw_split"), "raw_split", alias_table(table(spark, d, "split_targets"), "split_name"), "split")
+    return x.select(*wanted)
 
 
 def held_out(spark: SparkSession, d: str) -> DataFrame:
@@ -32,12 +35,18 @@ def held_out(spark: SparkSession, d: str) -> DataFrame:
     return x.distinct()
 
 
-def predictions(spark: SparkSession, d: str) -> DataFrame:
-    x = table(spark, d, "predictions").distinct()
+SCORED = ["prediction_id", "model_version", "actual_class", "predicted_class", "confidence", "low_confidence"]
+
+
+def predictions(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """Predictions without repeats, classes resolved; with ``p``, all probabilities, if no columns are named."""
+    x = table(spark, d, "predictions")
+    x = (x.select(*dict.fromkeys([*SCORED, *columns])) if columns else x).distinct()
     names = alias_table(table(spark, d, "classes"), "class_name")
     x = resolve(x.withColumnRenamed("actual_class", "raw_actual"), "raw_actual", names, "actual_class")
     x = resolve(x.withColumnRenamed("predicted_class", "raw_predicted"), "raw_predicted", names, "predicted_class")
-    return x.drop("raw_actual", "raw_predicted").withColumn("p", F.array(*P_COLUMNS))
+    x = x.drop("raw_actual", "raw_predicted")
+    return x if columns else x.withColumn("p", F.array(*P_COLUMNS))
 
 
 def manifest(spark: SparkSession, d: str) -> DataFrame:

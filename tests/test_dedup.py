@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from gleanery.operators import allocate, dedup, graph, verify
+from gleanery.operators import allocate, dedup, graph, hamming, verify
 from gleanery.operators.hamming import near_pairs
 
 ROW = "image_id long, class_name string, source string, family string, source_path string, sha256 string, original_sha256 string, phash string, rank int, converted string, staged_name string"
@@ -100,14 +100,33 @@ def test_groups_split_and_checks(spark, pipeline):
     assert [r["detail"] for r in removed.collect()] == ["exact ext.jpg"] and rest.count() == done.count() - 1
 
 
-def test_banding_is_exact(spark):
+@pytest.mark.parametrize("hot", [2000, 2])
+def test_banding_is_exact(spark, monkeypatch, hot):
+    monkeypatch.setattr(hamming, "HOT_BAND", hot)  # 2: nearly every shared band is cut again
     rng = random.Random(5)
     hashes = [f"{rng.getrandbits(256):064x}" for _ in range(60)]
     hashes += [flip(rng.choice(hashes), *rng.sample(range(256), rng.randrange(0, 9))) for _ in range(300)]
     df = spark.createDataFrame(list(enumerate(hashes)) + [(999, None), (1000, "ff")], "id long, h string")
-    want = {(i, j) for i in range(len(hashes)) for j in range(i + 1, len(hashes)) if (int(hashes[i], 16) ^ int(hashes[j], 16)).bit_count() <= 5}
-    got = [(r["a_id"], r["b_id"]) for r in near_pairs(df, None, "id", "h").collect()]
+    first = {}
+    for k, h in enumerate(hashes):
+        first.setdefault(h, k)
+    reps = sorted(first.values())
+    apart = lambda i, j: (int(hashes[i], 16) ^ int(hashes[j], 16)).bit_count()
+    want = {(i, j, apart(i, j)) for i in reps for j in reps if i < j and apart(i, j) <= 5}
+    got = [(r["a_id"], r["b_id"], r["distance"]) for r in near_pairs(df, None, "id", "h").collect()]
     assert len(got) == len(set(got)) and set(got) == want and want
+    assert {r["id"]: r["representative"] for r in hamming.members(df, "id", "h").collect()} == {k: first[h] for k, h in enumerate(hashes)} | {1000: 1000}
+    linked = {r["node"]: r["component"] for r in graph.connected_components(hamming.near_links(df, "id", "h"), "a_id", "b_id").collect()}
+    for i in range(len(hashes)):
+        for j in range(i):
+            if apart(i, j) <= 5:
+                assert linked[i] == linked[j]
+
+
+def test_copies_make_no_pairs(spark):
+    df = spark.createDataFrame([(k, "ab" * 32) for k in range(5000)], "id long, h string")
+    assert near_pairs(df, None, "id", "h").count() == 0
+    assert hamming.near_links(df, "id", "h").count() == 4999
 
 
 def test_components_of_a_path(spark):
