@@ -171,17 +171,17 @@ class FingerprintIndex:
         return probe.join(known, on, "left_semi").select(row).distinct()
 
 
-def _near_values(prints: DataFrame, index: FingerprintIndex) -> DataFrame:
-    """(a, b): different perceptual hashes among `prints` that match, in both orders."""
-    values = prints.filter(F.col("kind") == NEAR).select(*PRINT, "text", F.col("text").alias("value")).distinct()
-    keyed = cut(with_keys(values, index.limit, index.lengths))
+def _near_values(prints: DataFrame, index: FingerprintIndex) -> tuple[DataFrame, DataFrame]:
+    """The distinct perceptual hashes of `prints`, numbered, and (a, b): matching numbers, in both orders."""
+    values = cut(prints.filter(F.col("kind") == NEAR).select(*PRINT).distinct()).withColumn("number", F.monotonically_increasing_id())
+    keyed = cut(with_keys(values, index.limit, index.lengths).select("key", "number", *PRINT))
     hot = keyed.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > HOT_KEY)
     if not hot.isEmpty():
         keyed = _cut_hot(keyed, hot, index.limit)
     a, b = keyed.alias("a"), keyed.alias("b")
-    on = (F.col("a.key") == F.col("b.key")) & (F.col("a.value") < F.col("b.value")) & _near("a", "b", index.limit)
-    pairs = a.join(b, on).select(F.col("a.value").alias("a"), F.col("b.value").alias("b")).distinct()
-    return pairs.union(pairs.select("b", "a"))
+    on = (F.col("a.key") == F.col("b.key")) & (F.col("a.number") < F.col("b.number")) & _near("a", "b", index.limit)
+    pairs = a.join(b, on).select(F.col("a.number").alias("a"), F.col("b.number").alias("b")).distinct()
+    return values, pairs.union(pairs.select("b", "a"))
 
 
 def _earlier_accepted(rows: DataFrame, pairs: DataFrame, max_rounds: int = 10_000) -> DataFrame:
@@ -223,10 +223,11 @@ def check_batch(index: FingerprintIndex, batch: DataFrame, record: str, order: l
     prints = cut(fingerprints(batch, [turn.alias("turn"), F.col(record).alias("record")], contents, perceptual))
     known = cut(index.matched(prints, "turn"))
     fresh = cut(prints.join(known, "turn", "left_anti"))
-    values = fresh.select("turn", F.concat(F.col("kind").cast("string"), F.lit(":"), "text").alias("value")).distinct()
-    pairs = _near_values(fresh, index)
-    mark = F.lit(f"{NEAR}:")
-    later = _earlier_accepted(values, pairs.select(F.concat(mark, "a").alias("a"), F.concat(mark, "b").alias("b")))
+    values, pairs = _near_values(fresh, index)
+    near = fresh.filter(F.col("kind") == NEAR).join(values, PRINT).select("turn", F.concat(F.lit("near "), "number").alias("value"))
+    exact = fresh.filter(F.col("kind") == EXACT).select("turn", F.col("text").alias("value"))
+    named = lambda c: F.concat(F.lit("near "), c).alias(c)
+    later = _earlier_accepted(near.union(exact).distinct(), pairs.select(named("a"), named("b")))
     cases = cut(known.union(later).distinct())
     if accept:
         index.append(fresh.join(cases, "turn", "left_anti"))
