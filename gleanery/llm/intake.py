@@ -109,9 +109,13 @@ def _cut_hot(keyed: DataFrame, hot: DataFrame, limit: int) -> DataFrame:
 
 
 def _near(a: str, b: str, limit: int) -> Column:
-    """Whether two fingerprints of one key match."""
+    """Whether two fingerprints of one key match.
+
+    Kind and length are compared as differences: as equalities they would become keys of the
+    join, which the index's buckets, by key alone, don't serve; it would be shuffled.
+    """
     apart = sum((F.bit_count(F.col(f"{a}.{w}").bitwiseXOR(F.col(f"{b}.{w}"))) for w in WORDS), F.lit(0))
-    same = (F.col(f"{a}.kind") == F.col(f"{b}.kind")) & (F.col(f"{a}.digits") == F.col(f"{b}.digits"))
+    same = (F.abs(F.col(f"{a}.kind") - F.col(f"{b}.kind")) + F.abs(F.col(f"{a}.digits") - F.col(f"{b}.digits"))) == 0
     return same & (apart <= F.when(F.col(f"{a}.kind") == NEAR, F.lit(limit)).otherwise(F.lit(0)))
 
 
