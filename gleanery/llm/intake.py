@@ -15,6 +15,8 @@ keys only and reads the index in place; accepted records are appended to it.
 
 from __future__ import annotations
 
+import json
+import re
 import uuid
 from itertools import combinations
 from math import ceil
@@ -120,15 +122,31 @@ def _near(a: str, b: str, limit: int) -> Column:
 
 
 class FingerprintIndex:
-    """The fingerprints of everything accepted so far, as a table bucketed by key."""
+    """The fingerprints of everything accepted so far, as a table bucketed by key.
+
+    `create` fills a new folder, `open` takes up one that an earlier session filled.
+    """
 
     def __init__(self, spark: SparkSession, folder: str | None = None, limit: int = 5):
         self.spark, self.limit = spark, limit
         self.folder = folder or scratch(spark, "fingerprints")
         self.name = f"fingerprints_{uuid.uuid4().hex}"
+        self.keys_folder = f"{self.folder}/keys"
         self.lengths = [DIGITS, 16]
         self.hot: DataFrame | None = None
 
+    @classmethod
+    def open(cls, spark: SparkSession, folder: str) -> FingerprintIndex:
+        """The index in a folder."""
+        saved = json.loads(spark.read.text(f"{folder}/about").first()[0])
+        index = cls(spark, folder, saved["limit"])
+        index.lengths, index.buckets, index.keys_folder = saved["lengths"], saved["buckets"], saved["keys_folder"]
+        if saved["hot"]:
+            index.hot = spark.read.parquet(f"{folder}/hot")
+        columns = spark.read.parquet(index.keys_folder).schema.simpleString()[len("struct<") : -1].replace(":", " ")
+        spark.sql(f"CREATE TABLE {index.name} ({columns}) USING parquet CLUSTERED BY (key) SORTED BY (key) INTO {index.buckets} BUCKETS LOCATION '{index.keys_folder}'")
+        return index
+
     def create(self, prints: DataFrame) -> FingerprintIndex:
         """Fills the index with fingerprints. Equal ones are kept once."""
         stats = prints.groupBy("digits", "kind").agg(F.count("*").alias("n")).collect()  # a row a length: at most 128
@@ -142,15 +160,19 @@ class FingerprintIndex:
         if self.hot.isEmpty():
             self.hot = None
         else:
-            name, plain = self.name, self.read()
-            self.name, self.folder = f"{name}_cut", f"{self.folder}-cut"
+            name, plain, folder = self.name, self.read(), self.keys_folder
+            self.hot.write.parquet(f"{self.folder}/hot")
+            self.name, self.keys_folder = f"{name}_cut", f"{self.folder}/cut"
             self._write(_cut_hot(plain, self.hot, self.limit))
             self.spark.sql(f"DROP TABLE {name}")
+            remove(self.spark, folder)
+        about = {"limit": self.limit, "lengths": self.lengths, "buckets": self.buckets, "keys_folder": self.keys_folder, "hot": self.hot is not None}
+        self.spark.createDataFrame([(json.dumps(about),)], "value string").coalesce(1).write.text(f"{self.folder}/about")
         return self
 
     def _write(self, keyed: DataFrame) -> None:
         rows = keyed.select("key", *PRINT).repartition(self.buckets, "key")
-        rows.write.mode("append").format("parquet").option("path", self.folder).bucketBy(self.buckets, "key").sortBy("key").saveAsTable(self.name)
+        rows.write.mode("append").format("parquet").option("path", self.keys_folder).bucketBy(self.buckets, "key").sortBy("key").saveAsTable(self.name)
 
     def read(self) -> DataFrame:
         return self.spark.table(self.name)
@@ -159,6 +181,12 @@ class FingerprintIndex:
         keyed = with_keys(prints, self.limit, self.lengths)
         return keyed if self.hot is None else _cut_hot(keyed, self.hot, self.limit)
 
+    def _buckets_of(self, probe: DataFrame) -> DataFrame:
+        """The rows of the buckets that the keys, at most as many as there are buckets, are in."""
+        wanted = {r[0] for r in probe.select(F.pmod(F.hash("key"), F.lit(self.buckets))).distinct().collect()}
+        files = [f for f in self.read().inputFiles() if int(re.search(r"_(\d+)(?:\.c\d+)?\.[^/]*$", f)[1]) in wanted]
+        return self.spark.read.parquet(*files) if files else self.read().limit(0)
+
     def append(self, prints: DataFrame) -> None:
         """Adds the fingerprints of accepted records."""
         self._write(self.keys(prints.select(*PRINT, "text").distinct()))
@@ -169,8 +197,14 @@ class FingerprintIndex:
         remove(self.spark, self.folder)
 
     def matched(self, prints: DataFrame, row: str) -> DataFrame:
-        """The distinct `row` values with a fingerprint that matches one of the index."""
-        probe, known = self.keys(prints).alias("p"), self.read().alias("k")
+        """The distinct `row` values with a fingerprint that matches one of the index.
+
+        Many keys are shuffled to the buckets of the index, which is read in place. If they
+        are fewer than its buckets, only the files of their buckets are read.
+        """
+        probe = self.keys(prints)
+        few = probe.limit(self.buckets).count() < self.buckets
+        probe, known = probe.alias("p"), (self._buckets_of(probe) if few else self.read()).alias("k")
         on = (F.col("p.key") == F.col("k.key")) & _near("p", "k", self.limit)
         return probe.join(known, on, "left_semi").select(row).distinct()
 

@@ -82,11 +82,16 @@ def test_like_a_loop(spark, monkeypatch, hot):
     index = FingerprintIndex(spark).create(fingerprints(spark.createDataFrame(history, ROW), [], ["sha", "other"], "phash"))
     got = {r[0] for r in check_batch(index, spark.createDataFrame(batch, ROW), "id", ["batch", "id"], ["sha", "other"], "phash").collect()}
     assert got == expected(history, batch)
-    # A later batch meets what was accepted before.
+    # A later batch meets what was accepted before, also in the index as another session opens it.
+    index = FingerprintIndex.open(spark, index.folder)
     later = rows(rng, 120, 20000, batch)
     accepted = [r for r in batch if r[0] not in got]
     got = {r[0] for r in check_batch(index, spark.createDataFrame(later, ROW), "id", ["batch", "id"], ["sha", "other"], "phash").collect()}
     assert got == expected(history + accepted, later)
+    known = history + accepted + [r for r in later if r[0] not in got]
+    for r in rows(rng, 6, 30000, later):  # a batch of one row reads few buckets
+        one = spark.createDataFrame([r], ROW)
+        assert [x[0] for x in check_batch(index, one, "id", ["batch", "id"], ["sha", "other"], "phash", accept=False).collect()] == list(expected(known, [r]))
     index.drop()
 
 
