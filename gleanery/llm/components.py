@@ -4,11 +4,13 @@ Each vertex keeps a cluster, at first itself and its neighbours. In a round it s
 to the cluster's minimum and the minimum to every member, until nothing changes; then the
 minimum holds the whole component and every other vertex just the minimum. A cluster is kept
 as rows (vertex, member), never as one value, so that a component of any size is spread
-over tasks.
+over tasks. Components that are done leave the rounds.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,30 +28,28 @@ def hash_to_min(links: DataFrame, a: str, b: str, max_rounds: int = 100) -> Data
     one = links.select(F.col(a).alias("vertex"), F.col(b).alias("member")).filter("vertex <> member")
     both = one.union(one.select("member", "vertex"))
     clusters = cut(both.union(both.select("vertex", "vertex")).distinct())
-    state = _state(clusters)
+    finished = []
     for _ in range(max_rounds):
         least = clusters.groupBy("vertex").agg(F.min("member").alias("least"))
-        sent = clusters.join(least, "vertex").select("member", "least")
+        others = least.select(F.col("vertex").alias("member"), F.col("least").alias("its_least"))
+        known = cut(clusters.join(least, "vertex").join(others, "member"))
+        # A component is done if its rows are a star around its minimum and no row leads out.
+        astray = known.filter("least <> its_least or (vertex <> least and member <> least)")
+        going = cut(astray.select(F.explode(F.array("least", "its_least")).alias("least")).distinct())
+        finished.append(known.join(going, "least", "left_anti").filter("vertex = least").select(F.col("member").alias("vertex"), F.col("least").alias("component")))
+        if going.isEmpty():
+            return reduce(DataFrame.union, finished)
+        sent = known.join(going, "least", "left_semi").select("member", "least")
         to = F.explode(
             F.array(
                 F.struct(F.col("least").alias("vertex"), F.col("member").alias("member")),
                 F.struct(F.col("member").alias("vertex"), F.col("least").alias("member")),
             )
         )
-        clusters = cut(sent.distinct().select(to.alias("x")).select("x.*").distinct())
-        before, state = state, _state(clusters)
-        if state == before:
-            return clusters.groupBy("vertex").agg(F.min("member").alias("component"))
+        clusters = cut(sent.select(to.alias("x")).select("x.*").distinct())
     raise RuntimeError(f"components not stable after {max_rounds} rounds")
 
 
-def _state(clusters: DataFrame) -> tuple:
-    """Count and two sums of hashes: equal for equal sets of rows."""
-    h = F.xxhash64("vertex", "member")
-    g = F.xxhash64(F.lit(1), "member", "vertex")
-    return tuple(clusters.agg(F.count("*"), F.sum(h.cast("decimal(38,0)")), F.sum(g.cast("decimal(38,0)"))).first())
-
-
 def match_groups(pairs: DataFrame, records: DataFrame, a: str, b: str, record: str, limit: int = 5, distance: str = "distance") -> DataFrame:
     """(group, record) of each record that a valid pair links to another, directly or not.
 
