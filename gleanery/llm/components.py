@@ -4,19 +4,36 @@ Each vertex keeps a cluster, at first itself and its neighbours. In a round it s
 to the cluster's minimum and the minimum to every member, until nothing changes; then the
 minimum holds the whole component and every other vertex just the minimum. A cluster is kept
 as rows (vertex, member), never as one value, so that a component of any size is spread
-over tasks. Components that are done leave the rounds.
+over tasks. Components that are done leave the rounds. Minima are those of a scrambled order: in
+the order of their numbers a path's clusters grow with its square.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gleanery.runtime import cut
 
 
+def _scrambled(x: Column) -> Column:
+    """A one-to-one map of 64-bit numbers that leaves no order of theirs."""
+    for step in (lambda v: F.shiftleft(v, 13), lambda v: F.shiftrightunsigned(v, 7), lambda v: F.shiftleft(v, 17)):
+        x = x.bitwiseXOR(step(x))
+    return x
+
+
+def _restored(df: DataFrame, column: str) -> DataFrame:
+    """Undoes `_scrambled`: each step's inverse is the sum of its powers."""
+    for shift, by in ((F.shiftleft, 17), (F.shiftrightunsigned, 7), (F.shiftleft, 13)):
+        x = F.col(column)
+        df = df.withColumn(column, reduce(lambda s, k: s.bitwiseXOR(shift(x, k)), range(by, 64, by), x))  # noqa: B023
+    return df
+
+
 def hash_to_min(links: DataFrame, a: str, b: str, max_rounds: int = 100) -> DataFrame:
     """(vertex, component): each linked vertex with the smallest vertex of its component.
 
@@ -25,7 +42,10 @@ def hash_to_min(links: DataFrame, a: str, b: str, max_rounds: int = 100) -> Data
     Other columns are ignored. Raises if `max_rounds` rounds (enough for a path of over
     2**50 vertices) don't reach the end.
     """
+    number = not isinstance(links.schema[a].dataType, T.StringType)
+    there = _scrambled if number else lambda c: F.concat(F.substring(F.md5(c), 1, 8), c)
     one = links.select(F.col(a).alias("vertex"), F.col(b).alias("member")).filter("vertex <> member")
+    one = one.select(*(there(F.col(c).cast("bigint") if number else F.col(c)).alias(c) for c in ("vertex", "member")))
     both = one.union(one.select("member", "vertex"))
     clusters = cut(both.union(both.select("vertex", "vertex")).distinct())
     finished = []
@@ -38,7 +58,10 @@ def hash_to_min(links: DataFrame, a: str, b: str, max_rounds: int = 100) -> Data
         going = cut(astray.select(F.explode(F.array("least", "its_least")).alias("least")).distinct())
         finished.append(known.join(going, "least", "left_anti").filter("vertex = least").select(F.col("member").alias("vertex"), F.col("least").alias("component")))
         if going.isEmpty():
-            return reduce(DataFrame.union, finished)
+            done = reduce(DataFrame.union, finished)
+            done = _restored(done, "vertex").withColumn("vertex", F.col("vertex").cast(links.schema[a].dataType)) if number else done.withColumn("vertex", F.substr("vertex", F.lit(9)))
+            names = done.groupBy("component").agg(F.min("vertex").alias("name"))
+            return done.join(names, "component").select("vertex", F.col("name").alias("component"))
         sent = known.join(going, "least", "left_semi").select("member", "least")
         to = F.explode(
             F.array(

@@ -1,6 +1,8 @@
 import random
 
-from gleanery.llm.components import hash_to_min, match_groups
+from pyspark.sql import functions as F
+
+from gleanery.llm.components import _restored, _scrambled, hash_to_min, match_groups
 from gleanery.llm.splits import components, grouped_split, split_conflicts
 
 
@@ -31,6 +33,20 @@ def test_random_graphs_paths_and_stars(spark):
     assert got == union_find([(a, b) for a, b in pairs if a != b])
 
 
+def test_scrambling_is_one_to_one(spark):
+    ids = [0, 1, -1, 5, 2**63 - 1, -(2**63), *range(10**9, 10**9 + 500)]
+    df = spark.createDataFrame([(k,) for k in ids], "k long").withColumn("x", _scrambled(F.col("k")))
+    rows = _restored(df, "x").collect()
+    assert all(r["x"] == r["k"] for r in rows) and df.select("x").distinct().count() == len(ids)
+
+
+def test_types_of_vertices(spark):
+    for kind, values in (("int", [(1, 2), (2, 3)]), ("string", [("x", "y"), ("y", "b:z")])):
+        got = {r["vertex"]: r["component"] for r in hash_to_min(spark.createDataFrame(values, f"a {kind}, b {kind}"), "a", "b").collect()}
+        low = min(v for p in values for v in p)
+        assert got == {v: low for p in values for v in p}
+
+
 def test_no_links(spark):
     empty = spark.createDataFrame([], "a long, b long")
     assert hash_to_min(empty, "a", "b").collect() == []
