@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import html
 import re
-from functools import cache
+from functools import cache, lru_cache
 
 LOST = "�"
 ENTITY = r"&(?:[A-Za-z]{2,8}[0-9]{0,2}|#[0-9]{2,6}|#x[0-9A-Fa-f]{2,5});"
@@ -190,6 +190,27 @@ def candidates(unit: str) -> list[tuple[str, int, str]]:
     return [*whole, *found.values()]
 
 
+def told_by_look(unit: str) -> bool:
+    """Whether a unit is damage by its look alone: letters that make no plausible text, but do once
+    UTF-8 sequences among them are read."""
+    return _told_by_look(unit) if len(unit) <= 200 else _told_by_look.__wrapped__(unit)
+
+
+@lru_cache(1 << 16)
+def _told_by_look(unit: str) -> bool:
+    start = html.unescape(unit) if "&" in unit else unit
+    if not any(c > "\x7f" and c.isalpha() for c in start) or _plausible(start):
+        return False
+    for shown in SHOWN:
+        now = start
+        for _ in range(LEVELS):
+            if (now := utf8_once(now, shown)) is None:
+                break
+            if LOST not in now and _plausible(now):
+                return True
+    return False
+
+
 @cache
 def usual(channel: str) -> int:
     """The place of a channel among equals: the more usual decoders come first."""

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.channels import DROPPED, LOST, UNIT, candidates, fits, model_words, pattern_of, usual
+from gleanery.llm.channels import DROPPED, LOST, UNIT, candidates, fits, model_words, pattern_of, told_by_look, usual
 from gleanery.runtime import cut
 
 #: Log odds for each level of valid UTF-8 sequences, which clean text hardly holds by chance.
@@ -34,7 +34,10 @@ WORD_ROW, UNIT_ROW = 0, 1
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(kind, token, documents): words and units beyond ASCII, counted by batch."""
+    """(kind, token, documents): words and units beyond ASCII, counted by batch.
+
+    Units that are damage by their look are no evidence for their own words.
+    """
     for batch in batches:
         words, units = Counter(), Counter()
         for text in batch.column(0).to_pylist():
@@ -42,7 +45,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             found = set(UNIT.findall(text))
             units.update(found)
-            words.update({w for u in found for w in model_words(u)})
+            words.update({w for u in found if not told_by_look(u) for w in model_words(u)})
         kinds = [WORD_ROW] * len(words) + [UNIT_ROW] * len(units)
         yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array([*words, *units], pa.string()), pa.array([*words.values(), *units.values()], pa.int64())], names=["kind", "token", "n"])
 
@@ -153,14 +156,16 @@ class Repair:
     """Damage in the texts of `df` (`key` and `text`).
 
     Null, empty and ASCII texts without entities are clean. Rows with a null key are read for
-    the model but can't come out. Rows with equal keys count as one document.
+    the model but can't come out. Rows with equal keys count as one document. The model counts
+    each distinct text once, so that copies of a damaged one don't vote for its spelling.
     """
 
     def __init__(self, df: DataFrame, key: str = "doc_id", text: str = "text"):
         self.key = key
         self.kind = df.schema[key].dataType.simpleString()
         self.documents = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
-        counted = self.documents.select("text").mapInArrow(_scan, "kind int, token string, n bigint")
+        texts = self.documents.select("text").filter(F.col("text").rlike("[^\\x00-\\x7f]|&")).distinct()
+        counted = texts.mapInArrow(_scan, "kind int, token string, n bigint")
         self.tokens = cut(counted.groupBy("kind", "token").agg(F.sum("n").alias("n")))
         self.words = self.tokens.filter(f"kind = {WORD_ROW}").select(F.col("token").alias("word"), "n")
 

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from gleanery.llm.channels import candidates, fits, pattern_of
+from gleanery.llm.channels import candidates, fits, pattern_of, told_by_look
 from gleanery.llm.mojibake import Repair, best_path
 
 SENTENCES = [
@@ -100,3 +100,18 @@ def test_path_prefers_one_channel():
     assert best_path(pieces) == [0, 0, 0]
     assert best_path([[("a", 1.0)]]) == [-1]
     assert best_path([]) == []
+
+
+def test_copies_of_damage_are_no_evidence(spark):
+    rng = random.Random(3)
+    clean = list(dict.fromkeys(corpus(rng, 60)))
+    hurt = [shown(SENTENCES[0], "cp1252"), SENTENCES[5].encode("cp1251").decode("latin-1")]
+    docs = list(enumerate(clean)) + [(10_000 + k, hurt[k % 2]) for k in range(4000)]
+    docs += [(20_000 + k, f"{hurt[0]} No. {k}") for k in range(2000)]  # near copies: no equal texts
+    got = {r[0] for r in Repair(spark.createDataFrame(docs, "doc_id long, text string")).found().collect()}
+    assert got == {k for k, _ in docs if k >= 10_000}
+
+
+def test_told_by_look():
+    assert told_by_look("fÃ¼r") and told_by_look("РџРѕСЂР°Р¶РµРЅРѕ")
+    assert not any(told_by_look(x) for x in ("für", "трёх", "рік", "CAFÉ…", "──┐", "清晰度", "NÃO"))
