@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections import defaultdict
+from collections.abc import Collection
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -12,8 +13,6 @@ from pyspark.sql import functions as F
 from gleanery.llm.seeded import priority, weight_before
 from gleanery.runtime import cut
 
-#: Patterns that reach the driver; documents of further, smaller ones count as their source's alone.
-MAX_PATTERNS = 5_000
 #: Uses of a text beyond this all cost the same.
 MAX_LEVEL = 64
 
@@ -56,31 +55,43 @@ class _Flow:
             self._block(source, sink, dist)
 
     def _block(self, source: int, sink: int, dist: list[int]) -> None:
-        """Maximal flow over the edges of cheapest paths, by breadth-first augmentation."""
+        """Maximal flow over the edges of cheapest paths: those with the fewest edges first, each
+        edge tried once for a number of edges."""
         while True:
-            came = {source: -1}
-            queue = [source]
+            steps, queue = {source: 0}, [source]
             for a in queue:
-                if a == sink:
-                    break
                 for e in self.out[a]:
                     b = self.to[e]
-                    if self.left[e] > 0 and b not in came and dist[b] == dist[a] + self.cost[e]:
-                        came[b] = e
+                    if self.left[e] > 0 and b not in steps and dist[b] == dist[a] + self.cost[e]:
+                        steps[b] = steps[a] + 1
                         queue.append(b)
-            if sink not in came:
+            if sink not in steps:
                 return
-            path, at = [], sink
-            while at != source:
-                path.append(came[at])
-                at = self.to[came[at] ^ 1]
-            much = min(self.left[e] for e in path)
-            for e in path:
-                self.left[e] -= much
-                self.left[e ^ 1] += much
-
-
-def route(texts: dict[frozenset, int], rows: dict[tuple[frozenset, str], int], quotas: dict[str, int], repeats: dict[str, int]) -> dict[tuple[frozenset, str], int]:
+            tried, path, at = [0] * len(self.out), [], source
+            while True:
+                if at == sink:
+                    much = min(self.left[e] for e in path)
+                    for e in path:
+                        self.left[e] -= much
+                        self.left[e ^ 1] += much
+                    path, at = [], source
+                edges = self.out[at]
+                while tried[at] < len(edges):
+                    e = edges[tried[at]]
+                    b = self.to[e]
+                    if self.left[e] > 0 and steps.get(b) == steps[at] + 1 and dist[b] == dist[at] + self.cost[e]:
+                        path.append(e)
+                        at = b
+                        break
+                    tried[at] += 1
+                else:
+                    if at == source:
+                        break
+                    at = self.to[path.pop() ^ 1]
+                    tried[at] += 1
+
+
+def route(texts: dict[Collection, int], rows: dict[tuple[Collection, str], int], quotas: dict[str, int], repeats: dict[str, int]) -> dict[tuple[Collection, str], int]:
     """Tokens that each (pattern, source) gives to the source's quota.
 
     `texts`: tokens of the distinct texts of a pattern (the set of sources that hold them),
@@ -115,8 +126,8 @@ class SourceMix:
     `documents`: ``doc``, ``source``, ``text_key`` (equal for equal texts) and ``tokens``; rows
     with null source or without tokens can't be drawn, but their tokens count in the total.
     `targets`: mix_id, total_share, source, target_share, max_repeats; rows with nulls are no
-    targets. Both small tables (targets and patterns) are solved on the driver; documents stay
-    distributed.
+    targets. Targets and what sources a mix's patterns have of them are solved on the driver;
+    documents stay distributed.
     """
 
     def __init__(self, spark: SparkSession, documents: DataFrame, targets: DataFrame, seed: int = 42):
@@ -143,42 +154,33 @@ class SourceMix:
         return held.select("text_key", "source", "tokens").join(texts, "text_key")
 
     def flows(self) -> tuple[DataFrame, DataFrame]:
-        """(mix_id, pattern, source, capacity, flow, kin) and the pattern of each (text_key, source)."""
+        """(mix_id, pattern, source, capacity, flow, kin) and the pattern of each (text_key, source).
+
+        To a mix, patterns differ only in the sources it has targets for: they are narrowed to
+        those (``kin``) and added up before the driver takes them.
+        """
         held = self._patterns()
-        sums = cut(held.groupBy("pattern", "source").agg(F.sum("tokens").alias("tokens"), F.sum("once").alias("once")))
-        first = sums.orderBy(F.desc("once"), "pattern", "source").limit(MAX_PATTERNS).collect()
-        kept = {tuple(r["pattern"]) for r in first}
-        rows: dict[tuple[tuple, str], int] = {(tuple(r["pattern"]), r["source"]): r["tokens"] for r in first}
-        texts: dict[tuple, int] = {tuple(r["pattern"]): r["once"] for r in first}
-        if sums.count() > MAX_PATTERNS:
-            rest = self.spark.createDataFrame([(list(p),) for p in kept], "pattern array<string>")
-            for r in sums.join(rest, "pattern", "left_anti").groupBy("source").agg(F.sum("tokens").alias("tokens")).collect():
-                alone = (r["source"],)
-                rows[alone, r["source"]] = rows.get((alone, r["source"]), 0) + r["tokens"]
-                texts[alone] = texts.get(alone, 0) + r["tokens"]
-            held = held.join(rest.withColumn("__kept", F.lit(True)), "pattern", "left").withColumn("pattern", F.when(F.col("__kept"), F.col("pattern")).otherwise(F.array("source"))).drop("__kept")
+        sums = held.groupBy("pattern", "source").agg(F.sum("tokens").alias("tokens"), F.sum("once").alias("once"))
+        kin = F.to_json(F.sort_array(F.collect_set("source").over(W.partitionBy("mix_id", "pattern"))))
+        narrow = cut(sums.join(self.targets.select("mix_id", "source").distinct(), "source").withColumn("kin", kin))
+        merged = narrow.groupBy("mix_id", "kin", "source").agg(F.sum("tokens").alias("tokens"), F.sum("once").alias("once")).collect()
+        texts: dict = defaultdict(dict)
+        rows: dict = defaultdict(dict)
+        for r in sorted(merged):
+            p = tuple(json.loads(r["kin"]))
+            texts[r["mix_id"]][p] = r["once"]  # the same for each of its sources
+            rows[r["mix_id"]][p, r["source"]] = r["tokens"]
         mixes = defaultdict(list)
         for t in self.demands().collect():
             mixes[t["mix_id"]].append(t)
+        names = {(r["mix_id"], tuple(json.loads(r["kin"]))): r["kin"] for r in merged}
         out = []
         for mix, targets in mixes.items():
-            wanted = {t["source"]: int(t["quota"]) for t in targets}
-            narrow: dict[tuple, frozenset] = {p: frozenset(wanted).intersection(p) for p in texts}
-            merged_texts: dict[frozenset, int] = defaultdict(int)
-            merged_rows: dict[tuple[frozenset, str], int] = defaultdict(int)
-            for p, n in texts.items():
-                if narrow[p]:
-                    merged_texts[narrow[p]] += n
-            for (p, s), n in rows.items():
-                if s in wanted:
-                    merged_rows[narrow[p], s] += n
-            flow = route(merged_texts, merged_rows, wanted, {t["source"]: t["max_repeats"] for t in targets})
-            for (p, s), n in rows.items():
-                if s in wanted and (got := flow.get((narrow[p], s), 0)):
-                    out.append((mix, list(p), s, merged_rows[narrow[p], s], got, json.dumps(sorted(narrow[p]))))
+            flow = route(texts[mix], rows[mix], {t["source"]: int(t["quota"]) for t in targets}, {t["source"]: t["max_repeats"] for t in targets})
+            out += [(mix, names[mix, p], s, rows[mix][p, s], got) for (p, s), got in flow.items()]
         kind = self.targets.schema["mix_id"].dataType.simpleString()
-        schema = f"mix_id {kind}, pattern array<string>, source string, capacity bigint, flow bigint, kin string"
-        return self.spark.createDataFrame(out, schema), held
+        solved = self.spark.createDataFrame(out, f"mix_id {kind}, kin string, source string, capacity bigint, flow bigint")
+        return narrow.select("mix_id", "kin", "source", "pattern").join(solved, ["mix_id", "kin", "source"]), held
 
     def draw(self) -> DataFrame:
         """(mix_id, source, doc, tokens, repeats): the documents of each mix and how often each is used.

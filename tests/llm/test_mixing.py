@@ -77,3 +77,31 @@ def test_empty(spark):
     assert mix.unmet().collect() == [] and mix.draw().collect() == []
     mix = SourceMix(spark, spark.createDataFrame(documents()[:5], DOC), spark.createDataFrame([], TARGET))
     assert mix.draw().collect() == [] and mix.shares().collect() == []
+
+
+def test_many_patterns_keep_their_overlap(spark):
+    rng = random.Random(4)
+    docs = [(k, "a", f"own{k}", 40, "x") for k in range(500)]
+    rows = set()
+    for k in range(2000):  # texts that a and b share, in over 5,000 (pattern, source) rows
+        held = ["a", "b", *(f"x{j}" for j in range(12) if rng.random() < 0.5)]
+        rows.update((tuple(held), s) for s in held)
+        docs += [(1000 + 20 * k + j, s, f"both{k}", 10, "x") for j, s in enumerate(held)]
+    assert len(rows) > 5000
+    share = 40_000 / sum(d[3] for d in docs)
+    mix = SourceMix(spark, spark.createDataFrame(docs, DOC), spark.createDataFrame([(1, share, "a", 0.5, 1), (1, share, "b", 0.5, 1)], TARGET))
+    drawn = mix.draw().collect()
+    # Both quotas can be met without a second use of any text: a's by its own, b's by the shared ones.
+    assert {r["doc"] for r in drawn if r["source"] == "a"} <= set(range(500))
+    assert all(abs(sum(r["tokens"] * r["repeats"] for r in drawn if r["source"] == s) - 20_000) <= 20 for s in "ab")
+
+
+def test_flow_over_many_patterns():
+    rng = random.Random(5)
+    names = [f"s{k}" for k in range(20)]
+    texts = {tuple(sorted(rng.sample(names, rng.randrange(1, 8)))): rng.randrange(50, 500) for _ in range(8000)}
+    rows = {(p, s): n for p, n in texts.items() for s in p}
+    quota = sum(texts.values()) // 20
+    flow = route(texts, rows, dict.fromkeys(names, quota), dict.fromkeys(names, 1))
+    assert sum(flow.values()) == 20 * quota
+    assert all(sum(flow.get((p, s), 0) for s in p) <= n for p, n in texts.items())  # no text twice
