@@ -85,11 +85,12 @@ def _text() -> Column:
 
 
 def with_keys(prints: DataFrame, limit: int, lengths: list[int]) -> DataFrame:
-    """Fingerprints once for each of their keys."""
+    """Fingerprints once for each of their keys; perceptual hashes of other lengths are an error."""
     text = F.col("text")
     keys = F.when(F.col("kind") == EXACT, F.array(F.xxhash64(F.lit("exact"), text)))
     for n in lengths:
         keys = keys.when(F.col("digits") == n, _band_keys(text, limit, n))
+    keys = keys.otherwise(F.raise_error(F.lit("a perceptual hash of a length that has no keys")))
     return prints.withColumn("text", _text()).withColumn("key", F.explode(keys)).drop("text")
 
 
@@ -138,7 +139,8 @@ class FingerprintIndex:
     @classmethod
     def open(cls, spark: SparkSession, folder: str) -> FingerprintIndex:
         """The index in a folder."""
-        saved = json.loads(spark.read.text(f"{folder}/about").first()[0])
+        # A row for each time that lengths came in; lengths are only added.
+        saved = max((json.loads(r[0]) for r in spark.read.text(f"{folder}/about").collect()), key=lambda x: len(x["lengths"]))
         index = cls(spark, folder, saved["limit"])
         index.lengths, index.buckets, index.keys_folder = saved["lengths"], saved["buckets"], saved["keys_folder"]
         if saved["hot"]:
@@ -166,10 +168,20 @@ class FingerprintIndex:
             self._write(_cut_hot(plain, self.hot, self.limit))
             self.spark.sql(f"DROP TABLE {name}")
             remove(self.spark, folder)
-        about = {"limit": self.limit, "lengths": self.lengths, "buckets": self.buckets, "keys_folder": self.keys_folder, "hot": self.hot is not None}
-        self.spark.createDataFrame([(json.dumps(about),)], "value string").coalesce(1).write.text(f"{self.folder}/about")
+        self._save()
         return self
 
+    def _save(self) -> None:
+        about = {"limit": self.limit, "lengths": self.lengths, "buckets": self.buckets, "keys_folder": self.keys_folder, "hot": self.hot is not None}
+        self.spark.createDataFrame([(json.dumps(about),)], "value string").coalesce(1).write.mode("append").text(f"{self.folder}/about")
+
+    def admit(self, prints: DataFrame) -> None:
+        """Lets the perceptual hashes of `prints` have keys, also those of lengths that are new to the index."""
+        new = {r["digits"] for r in prints.filter(F.col("kind") == NEAR).select("digits").distinct().collect()} - set(self.lengths)
+        if new:
+            self.lengths = sorted({*self.lengths, *new})
+            self._save()
+
     def _write(self, keyed: DataFrame) -> None:
         rows = keyed.select("key", *PRINT).repartition(self.buckets, "key")
         rows.write.mode("append").format("parquet").option("path", self.keys_folder).bucketBy(self.buckets, "key").sortBy("key").saveAsTable(self.name)
@@ -188,7 +200,7 @@ class FingerprintIndex:
         return self.spark.read.parquet(*files) if files else self.read().limit(0)
 
     def append(self, prints: DataFrame) -> None:
-        """Adds the fingerprints of accepted records."""
+        """Adds the fingerprints of accepted records, of lengths that were admitted."""
         self._write(self.keys(prints.select(*PRINT, "text").distinct()))
 
     def drop(self) -> None:
@@ -259,6 +271,7 @@ def check_batch(index: FingerprintIndex, batch: DataFrame, record: str, order: l
     """
     turn = F.struct(*(x for c in order for x in (F.col(c).isNull().alias(f"{c}_null"), F.col(c).alias(c))))
     prints = cut(fingerprints(batch, [turn.alias("turn"), F.col(record).alias("record")], contents, perceptual))
+    index.admit(prints)
     known = cut(index.matched(prints, "turn"))
     fresh = cut(prints.join(known, "turn", "left_anti"))
     values, pairs = _near_values(fresh, index)

@@ -112,3 +112,20 @@ def test_many_copies_and_empty_batch(spark):
     got = {r[0] for r in check_batch(index, spark.createDataFrame(copies, ROW), "id", ["batch", "id"], ["sha"], "phash").collect()}
     assert got == set(range(1, 500))
     assert check_batch(index, spark.createDataFrame([], ROW), "id", ["batch", "id"], ["sha"], "phash").collect() == []
+
+
+def test_lengths_new_to_the_index(spark):
+    rng = random.Random(8)
+    index = FingerprintIndex(spark).create(fingerprints(spark.createDataFrame(rows(rng, 20, 0, []), ROW), [], ["sha"], "phash"))
+    lengths = [1, 5, 8, 32, 40, 63]
+    first = {n: f"{rng.getrandbits(4 * n):0{n}x}" for n in lengths}
+    row = lambda k, h: (k, 1, None, None, h, "x", "y")
+    batch = [row(1000 + n, h) for n, h in first.items()] + [row(2000 + n, near(rng, h, min(n, 5))) for n, h in first.items()]
+    batch += [row(3000, near(rng, first[32], 6))]
+    got = {r[0] for r in check_batch(index, spark.createDataFrame(batch, ROW), "id", ["batch", "id"], ["sha"], "phash").collect()}
+    assert got == expected([], batch) == {2000 + n for n in lengths}
+    index = FingerprintIndex.open(spark, index.folder)  # what was accepted is known to later sessions
+    later = [row(5000 + n, near(rng, h, 1)) for n, h in first.items()] + [row(6000, "ab" * 14)]
+    got = {r[0] for r in check_batch(index, spark.createDataFrame(later, ROW), "id", ["batch", "id"], ["sha"], "phash", accept=False).collect()}
+    assert got == {5000 + n for n in lengths}
+    index.drop()
