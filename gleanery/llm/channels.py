@@ -158,6 +158,14 @@ def single_byte(text: str, shown: str, was: str) -> str | None:
     return back if _plausible(back) else None
 
 
+def other_script(text: str) -> bool:
+    """Whether text, but for lost characters, is plain Greek, Cyrillic or of a later script."""
+    letters = [c for c in text if c.isalpha()]
+    if len(letters) < 3 or min(letters) < "Ͱ" or re.search(r"[^\W\d_][^\w\u3000-\uffff][^\W\d_]", text):
+        return False
+    return all(run[1:] == run[1:].lower() or run == run.upper() for run in re.findall(rf"(?:[^\W\d_]|{LOST})+", text))
+
+
 DROPPED = "utf-8 as latin-1, bytes dropped"
 _STUBBED = re.compile(rf"(?:[^\W\d_]|[{chr(STUB + 0x80)}-{chr(STUB + 0xFF)}])+")
 
@@ -186,6 +194,8 @@ def candidates(unit: str) -> list[tuple[str, int, str]]:
     if cut is not None and _STUBBED.fullmatch(cut) and len(re.findall("[a-z]", cut.lower())) > 2:
         found[cut] = (f"{escaped}{DROPPED}", 1, cut)
     if LOST in start:
+        if other_script(start):
+            whole = []
         found.setdefault(start, ("lost bytes", 0, start))
     return [*whole, *found.values()]
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.channels import DROPPED, LOST, UNIT, candidates, fits, model_words, pattern_of, told_by_look, usual
+from gleanery.llm.channels import DROPPED, LOST, UNIT, candidates, fits, model_words, other_script, pattern_of, told_by_look, usual
 from gleanery.runtime import cut
 
 #: Log odds for each level of valid UTF-8 sequences, which clean text hardly holds by chance.
@@ -211,15 +211,20 @@ class Repair:
     def restored(self) -> DataFrame:
         """(key, text, channels, open): damaged documents with the text as far as it can be had.
 
-        Lost characters are taken from the most frequent word that fits; ``open`` says whether
-        some stay lost.
+        Lost characters are taken from the most frequent word (of ideographs, run) that fits;
+        ``open`` says whether some stay lost.
         """
         fixes = cut(self.fixes())
         damaged = fixes.select(F.explode("fixes.restored").alias("restored")).filter(F.col("restored").contains(LOST)).distinct()
-        lost = damaged.mapInArrow(_lost_words, "damaged string, gaps string").distinct()
-        known = self.words.mapInArrow(_patterns, "word string, n bigint, gaps string")
-        pairs = lost.filter(F.col("gaps").rlike("[a-z]")).join(known, "gaps").select("word", "damaged", "n")
-        best = pairs.mapInArrow(_fill, "word string, damaged string, n bigint").groupBy("damaged").agg(F.max_by("word", F.struct("n", "word")).alias("word"))
+        lost = cut(damaged.mapInArrow(_lost_words, "damaged string, reading string, size int, gaps string, length int, place int, left string").distinct())
+        runs = self.tokens.filter(f"kind = {UNIT_ROW}").select("token", "n").mapInArrow(_ideographs, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+        known = self.words.unionByName(runs).mapInArrow(_patterns, "word string, n bigint, gaps string")
+        chosen = ["word", "reading", "size", "damaged", "n"]
+        pairs = lost.filter("place is null").join(known, "gaps").select(chosen)
+        placed = known.filter("gaps = '*'").withColumn("length", F.length("word")).join(lost.filter("place is not null").select("length", "place").distinct(), "length")
+        placed = placed.withColumn("left", F.expr("substring(word, place + 1, 1)")).drop("gaps")
+        pairs = pairs.unionByName(placed.join(lost, ["length", "place", "left"]).select(chosen))
+        best = pairs.mapInArrow(_fill_lost, "word string, reading string, size int, damaged string, n bigint").groupBy("damaged").agg(F.max_by("word", F.struct("n", "word")).alias("word"))
         wanted = fixes.select("key", F.explode("fixes.restored").alias("restored")).filter(F.col("restored").contains(LOST)).distinct()
         wanted = wanted.mapInArrow(_lost_by_key, f"key {self.kind}, damaged string").join(best, "damaged").groupBy("key").agg(F.collect_set(F.struct("damaged", "word")).alias("fill"))
         rows = self.documents.join(fixes, "key").join(wanted, "key", "left").select("key", "text", "fixes", "fill")
@@ -235,9 +240,47 @@ _LOST_WORD = re.compile(rf"(?:[^\W\d_]|{LOST})+")
 
 
 def _lost_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(damaged, reading, size, gaps, length, place, left): words with lost characters.
+
+    A word without ASCII letters is read with one U+FFFD for each lost character, or for each
+    of its `size` bytes, and is known by its length and the first character that is left. One
+    of which none is left could be any word and doesn't come out.
+    """
+    kinds = {"damaged": pa.string(), "reading": pa.string(), "size": pa.int32(), "gaps": pa.string(), "length": pa.int32(), "place": pa.int32(), "left": pa.string()}
+    for batch in batches:
+        rows = []
+        for w in dict.fromkeys(w.lower() for t in batch.column(0).to_pylist() for w in _lost_in(t)):
+            if _ASCII_LETTER.search(w):
+                rows.append((w, w, 1, pattern_of(w), None, None, None))
+                continue
+            for size in (1, 2, 3):
+                if all(len(run) % size == 0 for run in _LOST_RUN.findall(w)):
+                    reading = _LOST_RUN.sub(lambda m: LOST * (len(m[0]) // size), w)  # noqa: B023
+                    place = next((k for k, c in enumerate(reading) if c != LOST), None)
+                    if place is not None:
+                        rows.append((w, reading, size, "*", len(reading), place, reading[place]))
+        columns = list(zip(*rows)) or [[]] * len(kinds)
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds.values())], names=list(kinds))
+
+
+_ASCII_LETTER = re.compile("[a-z]")
+_LOST_RUN = re.compile(f"{LOST}+")
+_IDEOGRAPHS = re.compile(rf"(?<![぀-ヿ㐀-鿿{LOST}])[぀-ヿ㐀-鿿]{{2,}}(?![぀-ヿ㐀-鿿{LOST}])")
+
+
+def _ideographs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whole runs of ideographs, which are many words to the model, as one."""
+    for batch in batches:
+        rows = [(w, n) for t, n in zip(*(c.to_pylist() for c in batch.columns)) for w in set(_IDEOGRAPHS.findall(t))]
+        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in rows], pa.string()), pa.array([n for _, n in rows], pa.int64())], names=["word", "n"])
+
+
+def _fill_lost(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (word, reading, size, damaged, n) those where the word can have become the damaged one."""
     for batch in batches:
-        words = list(dict.fromkeys(w.lower() for t in batch.column(0).to_pylist() for w in _lost_in(t)))
-        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([pattern_of(w) for w in words], pa.string())], names=["damaged", "gaps"])
+        words, readings, sizes = (batch.column(k).to_pylist() for k in range(3))
+        fit = [fits(w, r) and (s == 1 or all(len(a.encode()) == s for a, b in zip(w, r) if b == LOST)) for w, r, s in zip(words, readings, sizes)]
+        yield batch.filter(pa.array(fit, pa.bool_()))
 
 
 def _lost_by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,7 +292,7 @@ def _lost_by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         words = batch.column(0).to_pylist()
-        keep = [LOST not in w and not any(level and not channel.endswith(DROPPED) for channel, level, _ in candidates(w)) for w in words]
+        keep = [LOST not in w and (other_script(w) or not any(level and not channel.endswith(DROPPED) for channel, level, _ in candidates(w))) for w in words]
         slim = batch.filter(pa.array(keep, pa.bool_()))
         yield pa.RecordBatch.from_arrays([*slim.columns, pa.array([pattern_of(w) for w, k in zip(words, keep) if k], pa.string())], names=["word", "n", "gaps"])
 

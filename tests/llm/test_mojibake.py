@@ -115,3 +115,19 @@ def test_copies_of_damage_are_no_evidence(spark):
 def test_told_by_look():
     assert told_by_look("fÃ¼r") and told_by_look("РџРѕСЂР°Р¶РµРЅРѕ")
     assert not any(told_by_look(x) for x in ("für", "трёх", "рік", "CAFÉ…", "──┐", "清晰度", "NÃO"))
+
+
+def test_lost_characters_of_other_scripts(spark):
+    clean = [SENTENCES[5], SENTENCES[8], "Η φωτογραφία είναι καλή."]
+    cases = {
+        100: ("Пора\ufffdено около", "Поражено около"),
+        101: ("около пол\ufffd\ufffdвины", "около половины"),  # a sign for each byte
+        102: ("无法判\ufffd病斑。", "无法判断病斑。"),
+        103: ("清晰度\ufffd\ufffd\ufffd低，无法", "清晰度很低，无法"),
+        104: ("Η φω\ufffdογραφία", "Η φωτογραφία"),
+        105: ("\ufffd\ufffd\ufffd около", "\ufffd\ufffd\ufffd около"),  # nothing left to tell by
+    }
+    docs = [(k, f"{t} {k}") for k in range(30) for t in [clean[k % 3]]] + [(k, d) for k, (d, _) in cases.items()]
+    rows = {r["doc_id"]: r for r in Repair(spark.createDataFrame(docs, "doc_id long, text string")).restored().collect()}
+    assert {k: rows[k]["text"] for k in cases} == {k: t for k, (_, t) in cases.items()}
+    assert [k for k in cases if rows[k]["open"]] == [105]
