@@ -7,9 +7,13 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gleanery.functions.scalars import true_format
 from gleanery.operators.hamming import near_pairs
 from gleanery.runtime import cut
 
+#: Names of augmented files begin so.
+RESERVED = "aug__"
+
 
 def difference(a: DataFrame, b: DataFrame, columns: list[str]) -> DataFrame:
     """Rows of either side that the other lacks, with the side: one shuffle for both directions."""
@@ -52,5 +56,29 @@ def checks(df: DataFrame, held_out: DataFrame, key: str = "image_id", limit: int
     return reduce(DataFrame.union, counts).withColumn("passed", F.col("violations") == 0)
 
 
+def file_checks(df: DataFrame, manifest: DataFrame, path: str = "path", name: str = "staged_name", split: str = "split", sha: str = "sha256", content: str | None = None) -> DataFrame:
+    """(name, violations, passed) of the checks over the files of a build, `path` being their key.
+
+    Augmented files (``aug__``) only in train; each file in the manifest (`path`, `sha`) with its
+    hash, and the reverse; no other file's name with the reserved prefix (`manifest` may
+    have a boolean ``augmented``; without, every listed file counts as none); with `content`, no
+    WebP by its first bytes. A file without a hash or a split violates what asks for it.
+    """
+    marked = F.col("augmented") if "augmented" in manifest.columns else F.lit(False)
+    listed = manifest.select(F.col(path).alias("__path"), F.col(sha).alias("__sha"), F.coalesce(marked, F.lit(False)).alias("__augmented"))
+    both = df.join(listed, df[path] == F.col("__path"), "full")
+    prefixed = F.coalesce(F.element_at(F.split(name, "/"), -1).startswith(RESERVED), F.lit(False))
+    bad = {
+        "augmented_outside_train": prefixed & ~F.coalesce(F.col(split) == "train", F.lit(False)),
+        "content_differs": ~F.coalesce(F.col(sha) == F.col("__sha"), F.lit(False)),
+        "reserved_prefix": prefixed & ~F.coalesce("__augmented", F.lit(False)),
+    }
+    if content is not None:
+        bad["webp_content"] = F.coalesce(true_format(F.col(content)) == "WEBP", F.lit(False))
+    counts = both.agg(*(F.count_if(x).alias(k) for k, x in bad.items()))
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("name"), F.col(k).alias("violations")) for k in bad))).alias("x")
+    return counts.select(each).select("x.*").withColumn("passed", F.col("violations") == 0)
+
+
 def verdict(checked: DataFrame) -> DataFrame:
     return checked.agg(F.count_if("passed").alias("passed_checks"), F.count("*").alias("checks"), F.min("passed").alias("passed"))

@@ -148,3 +148,15 @@ def test_difference(spark):
     a = spark.createDataFrame([("x",), ("x",), ("y",), (None,)], "k string")
     b = spark.createDataFrame([("x",), ("z",), (None,)], "k string")
     assert sorted(tuple(r) for r in verify.difference(a, b, ["k"]).collect()) == [("x", "left", 1), ("y", "left", 1), ("z", "right", 1)]
+
+
+def test_file_checks(spark):
+    png, webp = bytes.fromhex("89504E470D0A1A0A00000000"), b"RIFF0000WEBP"
+    good = [("train/a", "a.png", "train", "1", png), ("train/b", "aug__0__a.png", "train", "2", png), ("test/c", "c.png", "test", "3", png)]
+    kind = "path string, staged_name string, split string, sha256 string, content binary"
+    manifest = spark.createDataFrame([("train/a", "1", False), ("train/b", "2", True), ("test/c", "3", None)], "path string, sha256 string, augmented boolean")
+    run = lambda rows: verify.file_checks(spark.createDataFrame(rows, kind), manifest, content="content")
+    assert verify.verdict(run(good)).first()["passed"]
+    bad = [good[0], ("train/b", "aug__0__a.png", "validation", "2", png), ("test/c", "aug__c.png", "test", "9", webp), ("test/d", "d.png", "test", None, png)]
+    got = {r["name"]: r["violations"] for r in run(bad).collect()}
+    assert got == {"augmented_outside_train": 2, "content_differs": 2, "reserved_prefix": 1, "webp_content": 1}
