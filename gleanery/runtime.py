@@ -33,14 +33,21 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, written to the shared folder so that a lost executor loses nothing.
 
-    A checkpointed frame keeps the size that was estimated for its plan. In loops these
-    estimates multiply each other until they alone fill the driver; the result here has the
-    written rows and no estimate.
+    A checkpointed frame keeps the size that was estimated for its plan; in loops such estimates
+    multiply each other until they alone fill the driver. The result here has the written rows
+    and the number of bytes that were written as its size, so small ones can be broadcast.
     """
     spark = df.sparkSession
     shared_dir(spark)
-    written = df.checkpoint(eager=True)._jdf
-    return DataFrame(spark._jsparkSession.internalCreateDataFrame(written.queryExecution().toRdd(), written.schema(), False), spark)
+    jvm = spark._jvm
+    plan = df.checkpoint(eager=True)._jdf.queryExecution().logical()
+    folder = jvm.org.apache.hadoop.fs.Path(plan.rdd().getCheckpointFile().get())
+    written = folder.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(folder).getLength()
+    # A Scala BigInt doesn't pass through Python: a range of 8 bytes a row has the statistics.
+    stats = spark.range(max(1, written // 8))._jdf.queryExecution().logical().stats()
+    none = jvm.scala.Option.empty()
+    sized = plan.copy(plan.output(), plan.rdd(), plan.outputPartitioning(), plan.outputOrdering(), False, none, spark._jsparkSession, jvm.scala.Some(stats), none)
+    return DataFrame(jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, sized), spark)
 
 
 def scratch(spark: SparkSession, name: str) -> str:
