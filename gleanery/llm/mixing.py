@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 from collections import defaultdict
 from collections.abc import Collection
+from math import ceil
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -13,8 +15,8 @@ from pyspark.sql import functions as F
 from gleanery.llm.seeded import priority, weight_before
 from gleanery.runtime import cut
 
-#: Uses of a text beyond this all cost the same.
-MAX_LEVEL = 64
+#: The k-th use of a text costs k up to this, then one more each time the uses double.
+LINEAR_LEVELS = 64
 
 
 class _Flow:
@@ -96,7 +98,9 @@ def route(texts: dict[Collection, int], rows: dict[tuple[Collection, str], int],
 
     `texts`: tokens of the distinct texts of a pattern (the set of sources that hold them),
     `rows`: tokens of a source's documents in a pattern. A source gives each document at most
-    repeats[source] times; the k-th use of a text, by whatever source, costs k.
+    repeats[source] times; the k-th use of a text, by whatever source, costs k (beyond
+    `LINEAR_LEVELS` one more for each doubling, so that the network stays small however often
+    a text may be used).
     """
     patterns, sources = list(texts), list(quotas)
     flow = _Flow(len(patterns) + len(sources) + 2)
@@ -107,10 +111,12 @@ def route(texts: dict[Collection, int], rows: dict[tuple[Collection, str], int],
         possible = sum(repeats[s] * rows.get((p, s), 0) for s in p if s in place)
         level, step = 1, max(1, texts[p])
         while possible > 0:
-            room = possible if level == MAX_LEVEL else min(step, possible)
+            room = min(step, possible)
             flow.edge(0, k, room, level)
             possible -= room
             level += 1
+            if level > LINEAR_LEVELS:
+                step *= 2 if level > LINEAR_LEVELS + 1 else LINEAR_LEVELS
         for s in p:
             if s in place and rows.get((p, s)):
                 used[p, s] = flow.edge(k, place[s], repeats[s] * rows[p, s])
@@ -120,6 +126,15 @@ def route(texts: dict[Collection, int], rows: dict[tuple[Collection, str], int],
     return {key: flow.left[e ^ 1] for key, e in used.items() if flow.left[e ^ 1]}
 
 
+class Flows(NamedTuple):
+    """(mix_id, pattern, source, kin, capacity, flow) of what is used; the pattern of each
+    (text_key, source); (mix_id, source, quota, unfilled) of every target."""
+
+    used: DataFrame
+    held: DataFrame
+    targets: DataFrame
+
+
 class SourceMix:
     """Documents of several sources in target shares.
 
@@ -137,6 +152,7 @@ class SourceMix:
         sizes = self.documents.groupBy("source").agg(F.sum("tokens").alias("tokens"))
         self.total = sizes.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
         self.sizes = sizes.filter("source is not null")
+        self._flows: Flows | None = None
 
     def demands(self) -> DataFrame:
         """Each target with the tokens it asks for (``quota``) and those it may use (``capacity``)."""
@@ -145,7 +161,8 @@ class SourceMix:
         return self.targets.join(self.sizes, "source", "left").select("mix_id", "source", "target_share", "max_repeats", quota.alias("quota"), capacity.alias("capacity"))
 
     def unmet(self) -> DataFrame:
-        return self.demands().filter("capacity < quota").select("mix_id", "source")
+        """The targets whose edge to the sink keeps room once the flow has sent all it can."""
+        return self.flows().targets.filter("unfilled > 0").select("mix_id", "source")
 
     def _patterns(self) -> DataFrame:
         """(text_key, source) rows with the pattern of the text."""
@@ -153,12 +170,18 @@ class SourceMix:
         texts = held.groupBy("text_key").agg(F.sort_array(F.collect_set("source")).alias("pattern"), F.max("once").alias("once"))
         return held.select("text_key", "source", "tokens").join(texts, "text_key")
 
-    def flows(self) -> tuple[DataFrame, DataFrame]:
-        """(mix_id, pattern, source, capacity, flow, kin) and the pattern of each (text_key, source).
+    def flows(self) -> Flows:
+        """The solved network of every mix; solved once.
 
         To a mix, patterns differ only in the sources it has targets for: they are narrowed to
-        those (``kin``) and added up before the driver takes them.
+        those (``kin``) and added up before the driver takes them. Quotas are rounded up to
+        whole tokens.
         """
+        if self._flows is None:
+            self._flows = self._solved()
+        return self._flows
+
+    def _solved(self) -> Flows:
         held = self._patterns()
         sums = held.groupBy("pattern", "source").agg(F.sum("tokens").alias("tokens"), F.sum("once").alias("once"))
         kin = F.to_json(F.sort_array(F.collect_set("source").over(W.partitionBy("mix_id", "pattern"))))
@@ -174,13 +197,21 @@ class SourceMix:
         for t in self.demands().collect():
             mixes[t["mix_id"]].append(t)
         names = {(r["mix_id"], tuple(json.loads(r["kin"]))): r["kin"] for r in merged}
-        out = []
+        out, reached = [], []
         for mix, targets in mixes.items():
-            flow = route(texts[mix], rows[mix], {t["source"]: int(t["quota"]) for t in targets}, {t["source"]: t["max_repeats"] for t in targets})
+            quotas: dict[str, int] = defaultdict(int)
+            for t in targets:
+                quotas[t["source"]] = max(quotas[t["source"]], ceil(t["quota"]))
+            flow = route(texts[mix], rows[mix], quotas, {t["source"]: t["max_repeats"] for t in targets})
             out += [(mix, names[mix, p], s, rows[mix][p, s], got) for (p, s), got in flow.items()]
+            sent: dict[str, int] = defaultdict(int)
+            for (_, s), got in flow.items():
+                sent[s] += got
+            reached += [(mix, s, q, q - sent[s]) for s, q in quotas.items()]
         kind = self.targets.schema["mix_id"].dataType.simpleString()
         solved = self.spark.createDataFrame(out, f"mix_id {kind}, kin string, source string, capacity bigint, flow bigint")
-        return narrow.select("mix_id", "kin", "source", "pattern").join(solved, ["mix_id", "kin", "source"]), held
+        ends = self.spark.createDataFrame(reached, f"mix_id {kind}, source string, quota bigint, unfilled bigint")
+        return Flows(narrow.select("mix_id", "kin", "source", "pattern").join(solved, ["mix_id", "kin", "source"]), held, ends)
 
     def draw(self) -> DataFrame:
         """(mix_id, source, doc, tokens, repeats): the documents of each mix and how often each is used.
@@ -190,7 +221,7 @@ class SourceMix:
         over or under in a source is made good by one use more or less of further documents in
         another order, to within half a document where any of that size is left.
         """
-        flows, held = self.flows()
+        flows, held, _ = self.flows()
         docs = self.documents.filter("source is not null and tokens > 0").join(held.select("text_key", "source", "pattern"), ["text_key", "source"])
         rows = docs.join(flows, ["pattern", "source"]).withColumn("__order", priority(self.seed, "doc"))
         rows = weight_before(rows, ["mix_id", "source", "kin"], "__order", "doc", F.col("tokens"))

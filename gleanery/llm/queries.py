@@ -12,7 +12,7 @@ from gleanery.llm.intake import FingerprintIndex, check_batch, fingerprints
 from gleanery.llm.mixing import SourceMix
 from gleanery.llm.mojibake import Repair
 from gleanery.llm.sampling import TargetSample, distinct_records
-from gleanery.llm.splits import grouped_split, reached_shares, split_conflicts
+from gleanery.llm.splits import grouped_split, reached_shares, split_conflicts, split_shares
 from gleanery.runtime import table
 
 
@@ -37,9 +37,10 @@ def _sample(spark: SparkSession, d: str) -> TargetSample:
         ["class_key", "split_key", "source", "family", "flag"],
     )
     images = resolve(resolve(images, "class_key", classes, "class_name"), "split_key", splits, "split")
-    records = images.withColumn("scope", F.col("split")).withColumn("all", F.lit(""))
+    # Diseases whose names end alike, as the rusts do, are siblings.
+    records = images.withColumn("scope", F.col("split")).withColumn("kind", F.element_at(F.split("class_name", " "), -1))
     plans = table(spark, d, "sample_targets")
-    return TargetSample(records, plans, {"source": "family"}, {"class_name": "source", "source": "class_name", "split": "class_name"})
+    return TargetSample(records, plans, {"source": "family", "class_name": "kind"}, {"class_name": "source", "source": "class_name", "split": "class_name"})
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -56,7 +57,7 @@ def p2_sample(spark: SparkSession, d: str) -> DataFrame:
 
 def _splits(spark: SparkSession, d: str) -> DataFrame:
     targets = table(spark, d, "split_targets")
-    names = [(r["split_name"], r["target_share"]) for r in targets.limit(1000).collect()]
+    names = split_shares(targets, "split_name", "target_share")
     classes = alias_table(table(spark, d, "classes"), "class_name")
     images = table(spark, d, "pool_images").select("image_id", "class_name", "family", "split", F.when(F.col("group_id") >= 0, F.col("group_id")).alias("group_id"))
     images = resolve(images, "split", alias_table(targets, "split_name"), "recorded")
@@ -65,6 +66,7 @@ def _splits(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Groups that the assignment has to bring together: rows off their component's split and off each other."""
     return split_conflicts(_splits(spark, d), "group_id", "recorded")
 
 

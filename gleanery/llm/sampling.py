@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gleanery.llm.seeded import priority, weight_before
+from gleanery.runtime import cut
 
 ANY = "*"
 
@@ -64,8 +67,24 @@ class TargetSample:
         columns = sorted({*fields, *parents.values(), *leaves.values()})
         self.records = records.select("record", "scope", "flag", *columns)
         self._described = [category.alias("category"), kind(parents).alias("parent"), kind(leaves).alias("leaf")]
-        cube = self.records.groupBy("scope", "flag", *columns).agg(F.count("*").alias("n"))
-        self.supply = self._in_scope(cube).groupBy("plan_id", "category", "parent", "leaf").agg(F.sum("n").alias("n"))
+        self._fields = ["scope", "flag", *columns]
+        self._kept: dict[str, DataFrame] = {}
+
+    def _once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """A small aggregate that several results need, written once."""
+        if name not in self._kept:
+            self._kept[name] = cut(make())
+        return self._kept[name]
+
+    @property
+    def supply(self) -> DataFrame:
+        """(plan_id, category, parent, leaf, n): the leaves of the category tree with their records."""
+
+        def make() -> DataFrame:
+            cube = self.records.groupBy(*self._fields).agg(F.count("*").alias("n"))
+            return self._in_scope(cube).groupBy("plan_id", "category", "parent", "leaf").agg(F.sum("n").alias("n"))
+
+        return self._once("supply", make)
 
     def _in_scope(self, rows: DataFrame) -> DataFrame:
         """Rows once for each plan whose scope they are in; by equality, as a row is in few kinds of scope."""
@@ -74,36 +93,58 @@ class TargetSample:
         rows = rows.withColumn("__scope", F.explode(scopes)).withColumn("__flag", F.explode(flags))
         return rows.join(self.heads, ["__scope", "__flag"]).select("plan_id", *self._described, *(c for c in ("record", "n") if c in rows.columns))
 
-    def report(self) -> DataFrame:
-        """Demand, supply and allotted rows of each target; ``missing`` is what the target lacks.
+    def allocation(self) -> DataFrame:
+        """Each target through the steps of the allocation, from the top of the tree down.
 
-        A category that can't meet its demand gets all its records; the rest of its demand goes
-        to its siblings' records, in proportion to their targets, and what they can't take to
-        its cousins.
+        A category first draws its demand from its own leaves (``own``, the sum of what `fill`
+        takes there) and hands on what they can't give (``handed_on``): to its siblings' records,
+        in proportion to their targets (``from_kin`` is what a category gives for others), and
+        what these can't take to its cousins'. Written once: the report, the draw and the unmet
+        targets all read it.
         """
+        return self._once("allocation", self._allocated)
+
+    def _allocated(self) -> DataFrame:
         scoped = self.supply.groupBy("plan_id").agg(F.sum("n").alias("in_scope"))
-        have = self.supply.filter("category is not null").groupBy("plan_id", "category").agg(F.sum("n").alias("available"), F.max_by("parent", F.struct("n", "parent")).alias("parent"))
+        known = self.supply.filter("category is not null")
+        have = known.groupBy("plan_id", "category").agg(F.sum("n").alias("available"), F.max_by("parent", F.struct("n", "parent")).alias("parent"))
         t = self.plans.join(scoped, "plan_id", "left").join(have, ["plan_id", "category"], "left")
         t = t.withColumns({"available": F.coalesce("available", F.lit(0)), "in_scope": F.coalesce("in_scope", F.lit(0)), "parent": F.coalesce("parent", F.lit(""))})
         t = t.withColumn("size", F.floor(F.col("sample_share") * F.col("in_scope")).cast("bigint"))
         t = t.withColumn("demand", F.greatest(F.col("min_rows").cast("bigint"), F.floor(F.col("target_share") * F.col("size")).cast("bigint")))
-        t = t.withColumn("own", F.least("demand", "available"))
+        leaves = known.groupBy("plan_id", "category", "leaf").agg(F.sum("n").alias("n"))
+        at_leaves = leaves.join(t.groupBy("plan_id", "category").agg(F.max("demand").alias("demand")), ["plan_id", "category"])
+        own = fill(at_leaves, ["plan_id", "category"], "demand", "n", "n", "leaf", "take").groupBy("plan_id", "category").agg(F.sum("take").alias("own"))
+        t = t.join(own, ["plan_id", "category"], "left").withColumn("own", F.least(F.coalesce("own", F.lit(0)), F.col("demand")))
+        t = t.withColumn("handed_on", F.col("demand") - F.col("own"))
         for near, got, groups in (("own", "kin", ["plan_id", "parent"]), ("kin", "allotted", ["plan_id"])):
             w = W.partitionBy(*groups)
             t = t.withColumn("__lack", F.sum(F.col("demand")).over(w) - F.sum(near).over(w)).withColumn("__room", F.col("available") - F.col(near))
             t = t.withColumn("__lack", F.greatest("__lack", F.lit(0)))
             t = fill(t, groups, "__lack", "__room", "target_share", "category", "__more").withColumn(got, F.col(near) + F.col("__more"))
-        reached = F.col("allotted") / F.sum("allotted").over(W.partitionBy("plan_id"))
-        missing = F.greatest(F.col("demand") - F.col("available"), F.lit(0))
-        return t.select("plan_id", "category", "target_share", "in_scope", "size", "demand", "available", "allotted", reached.alias("reached_share"), missing.alias("missing"))
+        whole = W.partitionBy("plan_id")
+        reached = F.col("allotted") / F.sum("allotted").over(whole)
+        return t.select(
+            "plan_id", "category", "target_share", "in_scope", "size", "demand", "available", "own", "handed_on", (F.col("allotted") - F.col("own")).alias("from_kin"),
+            "allotted", F.sum("allotted").over(whole).alias("sample_rows"), reached.alias("reached_share"),
+        )
+
+    def report(self) -> DataFrame:
+        """Demand, supply and allotted rows of each target; ``missing`` is what the target lacks.
+
+        ``sample_rows`` is the whole sample of the plan: floors leave it up to a row a category
+        below ``size``, minima may take it above.
+        """
+        return self.allocation().select("plan_id", "category", "target_share", "in_scope", "size", "demand", "available", "allotted", "sample_rows", "reached_share", F.col("handed_on").alias("missing"))
 
     def unmet(self) -> DataFrame:
-        return self.report().filter("missing > 0").select("plan_id", "category")
+        """The targets whose category handed quota on, as its own leaves couldn't give it."""
+        return self.allocation().filter("handed_on > 0").select("plan_id", "category")
 
     def draw(self) -> DataFrame:
         """(plan_id, category, record): the sample. A category's leaves give in proportion to their records."""
         leaves = self.supply.filter("category is not null").groupBy("plan_id", "category", "leaf").agg(F.sum("n").alias("n"))
-        parts = leaves.join(self.report().select("plan_id", "category", "allotted"), ["plan_id", "category"])
+        parts = leaves.join(self.allocation().select("plan_id", "category", "allotted"), ["plan_id", "category"])
         parts = fill(parts, ["plan_id", "category"], "allotted", "n", "n", "leaf", "take").select("plan_id", "category", "leaf", "take")
         rows = self._in_scope(self.records).filter("category is not null").join(parts, ["plan_id", "category", "leaf"])
         rows = rows.filter("take > 0").withColumn("__order", priority(self.seed, "record"))

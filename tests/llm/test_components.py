@@ -1,9 +1,14 @@
+import os
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from gleanery.llm.components import _restored, _scrambled, hash_to_min, match_groups
-from gleanery.llm.splits import components, grouped_split, split_conflicts
+from gleanery.llm import queries, splits
+from gleanery.llm.splits import MAX_SPLITS, components, grouped_split, split_conflicts, split_shares
+
+DATA = "/root/testdata/sf0.001"
 
 
 def union_find(pairs):
@@ -72,29 +77,76 @@ def test_shared_keys_link_rows(spark):
     assert got[5] not in (got[1], got[7], None) and got[6] is None
 
 
+TARGETS = [("train", 0.75), ("validation", 0.125), ("test", 0.125)]
+
+
+def grouped_rows(rng, groups, start=0, name="g"):
+    rows = []
+    for g in range(groups):
+        for _ in range(400 if g == 0 else 90 if g < 4 else rng.choice([1, 1, 1, 2, 3, 8])):
+            k = start + len(rows)
+            rows.append((k, f"{name}{g}", f"e{k}", "ab"[g % 2], None, None))
+    return rows
+
+
 def test_split_keeps_components_and_meets_shares(spark):
-    rng = random.Random(1)
-    rows, k = [], 0
-    for g in range(1500):
-        for _ in range(400 if g == 0 else rng.choice([1, 1, 1, 2, 3, 8])):
-            rows.append((k, f"g{g}", f"e{k}", "ab"[g % 2], None, None))
-            k += 1
+    rows = grouped_rows(random.Random(1), 1500)
     df = spark.createDataFrame(rows, ROWS)
-    targets = [("train", 0.75), ("validation", 0.125), ("test", 0.125)]
-    out = grouped_split(df, "id", ["author", "entity"], ["kind"], targets)
+    out = grouped_split(df, "id", ["author", "entity"], ["kind"], TARGETS)
     got = out.collect()
     assert len(got) == len(rows) and {r["assigned"] for r in got} == {"train", "validation", "test"}
-    assert split_conflicts(out, "author", "assigned").collect() == []
+    split_of = {}
+    assert all(split_of.setdefault(r["author"], r["assigned"]) == r["assigned"] for r in got)
     for kind in "ab":
         mine = [r["assigned"] for r in got if r["kind"] == kind]
-        assert abs(mine.count("train") / len(mine) - 0.75) < 0.06
-    again = {r["id"]: r["assigned"] for r in grouped_split(df, "id", ["author", "entity"], ["kind"], targets).collect()}
+        assert all(abs(mine.count(n) / len(mine) - s) < 0.03 for n, s in TARGETS)
+    again = {r["id"]: r["assigned"] for r in grouped_split(df, "id", ["author", "entity"], ["kind"], TARGETS).collect()}
     assert again == {r["id"]: r["assigned"] for r in got}
 
 
+def test_new_rows_move_no_earlier_component(spark):
+    rng = random.Random(5)
+    rows = grouped_rows(rng, 400)
+    first = grouped_split(spark.createDataFrame(rows, ROWS), "id", ["author", "entity"], ["kind"], TARGETS).select("id", "assigned")
+    old = {r["id"]: r["assigned"] for r in first.collect()}
+    more = rows + grouped_rows(rng, 900, 50_000, "n") + [(90_000 + k, f"g{k}", f"e{90_000 + k}", "ab"[k % 2], None, None) for k in range(300)]
+    earlier = spark.createDataFrame([*old.items(), (None, "train"), (rows[0][0], old[rows[0][0]])], "id long, assigned string")
+    out = grouped_split(spark.createDataFrame(more, ROWS), "id", ["author", "entity"], ["kind"], TARGETS, earlier=earlier).collect()
+    now = {r["id"]: r["assigned"] for r in out}
+    assert len(out) == len(more) and all(now[k] == s for k, s in old.items())
+    assert all(now[90_000 + k] == now[next(r[0] for r in rows if r[1] == f"g{k}")] for k in range(300))
+    for kind in "ab":
+        mine = [r["assigned"] for r in out if r["kind"] == kind]
+        assert all(abs(mine.count(n) / len(mine) - s) < 0.03 for n, s in TARGETS)
+
+
 def test_conflicts_and_empty(spark):
-    df = spark.createDataFrame([(1, "a", None, None, None, None), (2, "a", None, None, None, None), (3, "b", None, None, None, None)], ROWS)
-    out = components(df, ["author"]).drop("assigned")
-    recorded = spark.createDataFrame([(1, "train"), (2, "test"), (3, None)], "id long, recorded string")
+    df = spark.createDataFrame([(1, "a", None, None, None, None), (2, "a", None, None, None, None), (3, "b", None, None, None, None), (4, "c", None, None, None, None), (5, "c", None, None, None, None)], ROWS)
+    out = grouped_split(df, "id", ["author"], [], [("train", 0.5), ("test", 0.5)])
+    recorded = spark.createDataFrame([(1, "train"), (2, "test"), (3, None), (4, "validation"), (5, "validation")], "id long, recorded string")
     assert [r[0] for r in split_conflicts(out.join(recorded, "id"), "author", "recorded").collect()] == ["a"]
     assert grouped_split(df.limit(0), "id", ["author", "entity"], ["kind"], [("train", 1.0)]).collect() == []
+
+
+def test_numbers_and_too_many_splits(spark):
+    rows = [(1, 7, 1), (2, 7, 2), (3, 8, 2), (4, None, 4), (5, 9, None), (6, -3, 6), (7, -3, 7)]
+    df = spark.createDataFrame(rows, "id long, a long, b int")
+    got = {r["id"]: r["component"] for r in components(df, ["a", "b"]).collect()}
+    assert got[1] == got[2] == got[3] and got[6] == got[7] and len({got[k] for k in (1, 4, 5, 6)}) == 4
+    large = spark.createDataFrame([(1, 2**62, 1), (2, 2**62, 2)], "id long, a long, b int")
+    assert len({r["component"] for r in components(large, ["a", "b"]).collect()}) == 1
+    many = spark.createDataFrame([(f"s{k}", 0.1) for k in range(MAX_SPLITS + 1)], "split_name string, target_share double")
+    with pytest.raises(ValueError, match="splits"):
+        split_shares(many, "split_name", "target_share")
+    assert split_shares(many.limit(2), "split_name", "target_share")[0][1] == 0.1
+
+
+def test_queries_run_the_method(spark, monkeypatch):
+    if not os.path.isdir(DATA):
+        pytest.skip("no test tables")
+    calls = []
+    plain = splits.hash_to_min
+    monkeypatch.setattr(splits, "hash_to_min", lambda *a, **k: calls.append(a) or plain(*a, **k))
+    found = queries.p3_found(spark, DATA)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert calls and "assigned" in plan

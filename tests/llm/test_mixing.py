@@ -1,6 +1,7 @@
 import random
 from itertools import product
 
+from gleanery.llm import mixing
 from gleanery.llm.mixing import SourceMix, route
 
 DOC = "doc long, source string, text_key string, tokens long, extra string"
@@ -105,3 +106,25 @@ def test_flow_over_many_patterns():
     flow = route(texts, rows, dict.fromkeys(names, quota), dict.fromkeys(names, 1))
     assert sum(flow.values()) == 20 * quota
     assert all(sum(flow.get((p, s), 0) for s in p) <= n for p, n in texts.items())  # no text twice
+
+
+def test_levels_beyond_the_linear_ones_are_all_there():
+    one, many = ("a",), 10**6
+    flow = route({one: 10}, {(one, "a"): 10}, {"a": 10 * many + 5}, {"a": many})
+    assert flow == {(one, "a"): 10 * many}
+
+
+def test_unmet_comes_out_of_the_flow(spark, monkeypatch):
+    solved = []
+    plain = mixing.route
+    monkeypatch.setattr(mixing, "route", lambda *a: solved.append(a) or plain(*a))
+    docs = documents()
+    total = sum(d[3] for d in docs)
+    have = {s: sum(d[3] for d in docs if d[1] == s) for s in "abc"}
+    exact = have["c"] / total  # all that c has, to the token
+    targets = [(1, 1.0, "c", exact, 1), (2, 1.0, "c", exact * 1.0001, 1), (3, 1.0, "b", 0.0, 1), (3, 1.0, "a", 0.9, 1)]
+    mix = SourceMix(spark, spark.createDataFrame(docs, DOC), spark.createDataFrame(targets, TARGET))
+    assert sorted(tuple(x) for x in mix.unmet().collect()) == sorted((m, s) for m, t, s, p, r in targets if r * have[s] < p * t * total)
+    assert len(solved) == 3
+    mix.draw().count()
+    assert len(solved) == 3  # the same flow

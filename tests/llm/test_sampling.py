@@ -84,3 +84,16 @@ def test_empty_and_repeated(spark):
     df = spark.createDataFrame([(1, "a"), (1, "a"), (None, "b"), (2, None)], "image long, c string")
     got = sorted(tuple(r) for r in distinct_records(df, "image", [F.col("c")], ["x"]).collect())
     assert got == [(1, "a"), (2, None)]
+
+
+def test_cases_come_out_of_the_allocation(spark):
+    rows = records()
+    plans = [(1, "class_name", None, None, 0.5, c, s, 5) for c, s in (("big", 0.4), ("low", 0.6), ("gone", 0.1))]
+    sample = make(spark, rows, plans)
+    steps = {r["category"]: r for r in sample.allocation().collect()}
+    for c, r in steps.items():
+        assert r["own"] == min(r["demand"], r["available"]) and r["handed_on"] == r["demand"] - r["own"], c
+    assert steps["big"]["from_kin"] == min(steps["low"]["handed_on"] + steps["gone"]["handed_on"], steps["big"]["available"] - steps["big"]["own"])
+    assert {r[1] for r in sample.unmet().collect()} == {c for c, r in steps.items() if r["handed_on"]} == {"low", "gone"}
+    assert len({r["sample_rows"] for r in sample.report().collect()}) == 1
+    assert len(sample._kept) == 2  # supply and allocation are written once for all results
