@@ -123,7 +123,7 @@ class TargetSample:
             t = t.withColumn("__lack", F.greatest("__lack", F.lit(0)))
             t = fill(t, groups, "__lack", "__room", "target_share", "category", "__more").withColumn(got, F.col(near) + F.col("__more"))
         whole = W.partitionBy("plan_id")
-        reached = F.col("allotted") / F.sum("allotted").over(whole)
+        reached = F.col("allotted") / F.nullif(F.sum("allotted").over(whole), F.lit(0))
         return t.select(
             "plan_id", "category", "target_share", "in_scope", "size", "demand", "available", "own", "handed_on", (F.col("allotted") - F.col("own")).alias("from_kin"),
             "allotted", F.sum("allotted").over(whole).alias("sample_rows"), reached.alias("reached_share"),
