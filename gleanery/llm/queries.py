@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gleanery.functions.names import alias_table, normalised, resolve
 from gleanery.llm.components import match_groups
 from gleanery.llm.encoding import count_tokens, encode
-from gleanery.llm.intake import FingerprintIndex, check_batch, fingerprints
+from gleanery.llm.intake import FingerprintIndex, check_batches, fingerprints
 from gleanery.llm.mixing import SourceMix
 from gleanery.llm.mojibake import Repair
 from gleanery.llm.sampling import TargetSample, distinct_records
@@ -20,7 +20,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     pool = fingerprints(table(spark, d, "pool_images"), [], ["sha256", "original_sha256"], "phash")
     held_out = fingerprints(table(spark, d, "v3_external_fingerprints"), [], ["sha256"], "phash")
     index = FingerprintIndex(spark).create(pool.union(held_out))
-    found = check_batch(index, table(spark, d, "intake_images"), "intake_id", ["batch_no", "intake_id"], ["sha256"], "phash")
+    found = check_batches(index, table(spark, d, "intake_images"), "batch_no", "intake_id", ["sha256"], "phash")
     index.drop()
     return found
 
