@@ -50,6 +50,11 @@ def cut(df: DataFrame) -> DataFrame:
     return DataFrame(jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, sized), spark)
 
 
+def written_bytes(df: DataFrame) -> int:
+    """The size of a frame that `cut` gave."""
+    return int(df._jdf.queryExecution().logical().stats().sizeInBytes())
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
