@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import html
 import re
+from collections.abc import Iterator
 from functools import cache, lru_cache
 
 LOST = "�"
 ENTITY = r"&(?:[A-Za-z]{2,8}[0-9]{0,2}|#[0-9]{2,6}|#x[0-9A-Fa-f]{2,5});"
 #: Letters and characters beyond ASCII without a break, at least one beyond ASCII or escaped.
-UNIT = re.compile(rf"[A-Za-z]*(?:[^\x00-\x7f]|{ENTITY})(?:[A-Za-z]|[^\x00-\x7f]|{ENTITY})*")
+UNIT = re.compile(rf"[A-Za-z]*+(?:[^\x00-\x7f]|{ENTITY})(?:[A-Za-z]|[^\x00-\x7f]|{ENTITY})*+")
 #: Words of the model: one ideograph; a run of letters, with signs within that don't part words;
 #: or one other character beyond ASCII.
 _LETTERS = r"[^\W\d_぀-ヿ㐀-鿿]+"
@@ -33,8 +34,6 @@ SINGLE = {
     "iso8859_2": ["cp1252", "cp1250"],
     "cp1254": ["cp1252", "cp1250"],
 }
-LEVELS = 5
-
 
 def _bytes_of(codec: str) -> dict[str, int]:
     """Character to byte; bytes the codec doesn't have are the control characters of their number."""
@@ -59,43 +58,93 @@ def _options(table: dict[str, int], c: str) -> tuple[int, ...]:
     return tuple(dict.fromkeys(found))
 
 
-def utf8_once(text: str, shown: str) -> str | None:
-    """Every run of characters that are the bytes of one UTF-8 character, replaced by it.
+#: Stand for a UTF-8 character of which the first byte is known and another is lost (U+E100 + that byte).
+PART = 0xE100
+GONE = rf"[{LOST}{chr(PART + 0x80)}-{chr(PART + 0xFF)}]"
+#: Paths through a lattice that are kept where characters may stand for several bytes.
+READINGS = 8
+
+
+@cache
+def _class(shown: str, low: int, high: int) -> str:
+    """A character class of what may stand for bytes from `low` to `high`."""
+    marks = {x for c, b in TABLES[shown].items() if low <= b <= high for x in (c, c.upper(), c.lower()) if len(x) == 1 and x > "\x7f"}
+    return "[" + re.escape("".join(sorted(marks))) + "]"
+
+
+@cache
+def _may_hold(shown: str) -> re.Pattern:
+    """Finds a first byte and a second one, which may be lost."""
+    return re.compile(_class(shown, 0xC2, 0xF4) + f"(?:{_class(shown, 0x80, 0xBF)}|{LOST})")
+
+
+def arcs(text: str, at: int, shown: str) -> list[tuple[int, str]]:
+    """The arcs of the byte lattice from a position: (end, character) of each UTF-8 character whose
+    bytes the characters up to `end` may stand for.
 
-    A lost byte may be any continuation byte; the character is then lost (U+FFFD). None if
-    there is no such run.
+    A lost character is a wildcard, any later byte; the UTF-8 character is then known by its
+    first byte (`PART`).
     """
-    table, out, at, n, hit = TABLES[shown], [], 0, len(text), False
-    while at < n:
+    found: dict[tuple[int, str], None] = {}
+    table = TABLES[shown]
+    for lead in _options(table, text[at]):
+        size = 2 if 0xC2 <= lead <= 0xDF else 3 if 0xE0 <= lead <= 0xEF else 4 if 0xF0 <= lead <= 0xF4 else 0
+        if not size or at + size > len(text):
+            continue
+        ways: list[tuple[int, ...]] = [(lead,)]
+        lost = False
+        for x in text[at + 1 : at + size]:
+            more = [b for b in _options(table, x) if 0x80 <= b <= 0xBF] if x > "\x7f" and x != LOST else [0x80] if x == LOST else []
+            lost = lost or x == LOST
+            ways = [(*w, b) for w in ways for b in more]
+        for way in ways:
+            try:
+                found[at + size, chr(PART + lead) if lost else bytes(way).decode("utf-8")] = None
+            except UnicodeDecodeError:
+                continue
+    return list(found)
+
+
+def readings(text: str, shown: str) -> list[str]:
+    """What text may be once UTF-8 sequences in it are read, the most usual first; nothing if there are none.
+
+    Where a character may stand for several bytes, as after a change of case, all paths are
+    followed, of more than `READINGS` those with the fewest changes of case.
+    """
+    if not _may_hold(shown).search(text):
+        return []
+    # (changes of case, path as a chain); paths meet again at their ends.
+    ends: dict[int, list[tuple[int, tuple | None]]] = {0: [(0, None)]}
+    hit = False
+    for at in range(len(text)):
+        here = ends.pop(at, None)
+        if here is None:
+            continue
+        here = sorted(here, key=lambda p: p[0])[:READINGS]
         c = text[at]
-        done = None
-        if c > "\x7f" and c != LOST:
-            for lead in _options(table, c):
-                size = 2 if 0xC2 <= lead <= 0xDF else 3 if 0xE0 <= lead <= 0xEF else 4 if 0xF0 <= lead <= 0xF4 else 0
-                if not size or at + size > n:
-                    continue
-                rest, lost = [lead], False
-                for x in text[at + 1 : at + size]:
-                    more = next((b for b in _options(table, x) if 0x80 <= b <= 0xBF), None) if x > "\x7f" else None
-                    if x == LOST:
-                        lost, more = True, 0x80
-                    if more is None:
-                        break
-                    rest.append(more)
-                if len(rest) == size:
-                    try:
-                        done = LOST if lost else bytes(rest).decode("utf-8")
-                    except UnicodeDecodeError:
-                        continue
-                    at += size
-                    break
-        if done is None:
-            out.append(c)
-            at += 1
-        else:
-            out.append(done)
-            hit = True
-    return "".join(out) if hit else None
+        steps = arcs(text, at, shown) if c > "\x7f" and c != LOST else []
+        hit = hit or bool(steps)
+        for k, (end, out) in enumerate(steps or [(at + 1, c)]):
+            ends.setdefault(end, []).extend((cost + k, (out, path)) for cost, path in here)
+    if not hit:
+        return []
+    texts: dict[str, None] = {}
+    for _, path in sorted(ends[len(text)], key=lambda p: p[0])[:READINGS]:
+        parts = []
+        while path is not None:
+            parts.append(path[0])
+            path = path[1]
+        texts["".join(reversed(parts))] = None
+    return list(texts)
+
+
+def levels(text: str, shown: str) -> Iterator[tuple[int, str]]:
+    """(level, reading) of text wrongly decoded once, twice and so on: each level is shorter, so they end."""
+    now, level = [text], 0
+    while now := list(dict.fromkeys(r for x in now for r in readings(x, shown)))[:READINGS]:
+        level += 1
+        for reading in now:
+            yield level, reading
 
 
 #: Stand for a UTF-8 character of which only the first byte is left (U+E000 + that byte).
@@ -125,7 +174,16 @@ def stubs(text: str, shown: str) -> str | None:
     return "".join(out) if hit else None
 
 
+@lru_cache(1 << 14)
+def _plausible_short(text: str) -> bool:
+    return _is_plausible(text)
+
+
 def _plausible(text: str) -> bool:
+    return _plausible_short(text) if len(text) <= 200 else _is_plausible(text)
+
+
+def _is_plausible(text: str) -> bool:
     """Letters of one script a word with capitals only in front, or all capitals, and usual signs."""
     if re.search(r"[^\W\d_][^\x00-\x7f\w’][^\W\d_]", text) and not any("㐀" <= c <= "鿿" for c in text):
         return False
@@ -142,20 +200,28 @@ def _plausible(text: str) -> bool:
     return True
 
 
-def single_byte(text: str, shown: str, was: str) -> str | None:
-    table, raw = TABLES[shown], bytearray()
-    for c in text:
-        if c <= "\x7f":
-            raw.append(ord(c))
-        elif b := _options(table, c)[:1]:
-            raw.append(b[0])
-        else:
-            return None
+@cache
+def _to_bytes(shown: str) -> dict[int, int]:
+    """For `str.translate`: characters to those of the number of their byte, case changes too."""
+    table = TABLES[shown]
+    every = {x for c in table for x in (c, c.upper(), c.lower()) if len(x) == 1}
+    found = {ord(x): o[0] for x in every if (o := _options(table, x))}
+    return found | {c: 0x100 for c in range(0x80, 0x100) if c not in found}
+
+
+def single_bytes(text: str, shown: str) -> Iterator[tuple[str, str]]:
+    """(encoding, text) of every encoding that the bytes shown may have been in, with plausible text."""
     try:
-        back = raw.decode(was)
-    except UnicodeDecodeError:
-        return None
-    return back if _plausible(back) else None
+        raw = text.translate(_to_bytes(shown)).encode("latin-1")
+    except UnicodeError:
+        return
+    for was in SINGLE[shown]:
+        try:
+            back = raw.decode(was)
+        except UnicodeError:
+            continue
+        if _plausible(back):
+            yield was, back
 
 
 def other_script(text: str) -> bool:
@@ -180,15 +246,10 @@ def candidates(unit: str) -> list[tuple[str, int, str]]:
     found: dict[str, tuple[str, int, str]] = {}
     whole: list[tuple[str, int, str]] = []
     for shown in SHOWN:
-        now = start
-        for level in range(1, LEVELS + 1):
-            if (now := utf8_once(now, shown)) is None:
-                break
-            whole.append((f"{escaped}utf-8 as {shown} x{level}", level, now))
-    for shown, origins in SINGLE.items():
-        for was in origins:
-            back = single_byte(start, shown, was)
-            if back is not None and back != start and back not in found:
+        whole += ((f"{escaped}utf-8 as {shown} x{level}", level, now) for level, now in levels(start, shown))
+    for shown in SINGLE:
+        for was, back in single_bytes(start, shown):
+            if back != start and back not in found:
                 found[back] = (f"{escaped}{was} as {shown}", 0, back)
     cut = stubs(start, "latin-1")
     if cut is not None and _STUBBED.fullmatch(cut) and len(re.findall("[a-z]", cut.lower())) > 2:
@@ -211,14 +272,7 @@ def _told_by_look(unit: str) -> bool:
     start = html.unescape(unit) if "&" in unit else unit
     if not any(c > "\x7f" and c.isalpha() for c in start) or _plausible(start):
         return False
-    for shown in SHOWN:
-        now = start
-        for _ in range(LEVELS):
-            if (now := utf8_once(now, shown)) is None:
-                break
-            if LOST not in now and _plausible(now):
-                return True
-    return False
+    return any(not re.search(GONE, now) and _plausible(now) for shown in SHOWN for _, now in levels(start, shown))
 
 
 @cache
@@ -250,17 +304,25 @@ def fits(word: str, damaged: str) -> bool:
                 return False
             continue
         lost = now.count(LOST)
-        if LOST not in now:
+        if not re.search(GONE, now):
             if was != now:
                 return False
         elif now.strip(LOST):
-            if len(was) != len(now) or any(a != b for a, b in zip(was, now) if b != LOST):
+            if len(was) != len(now) or not all(b == LOST or _begins(a, b) for a, b in zip(was, now)):
                 return False
         elif lost not in (len(was), len(was.encode("utf-8"))):
             return False
     return True
 
 
+def _begins(was: str, now: str) -> bool:
+    """Whether a character, in either case, is the other, or begins with the first byte that is known of it."""
+    first = ord(now) - PART
+    if not 0x80 <= first <= 0xFF:
+        return was == now
+    return any(c.encode("utf-8")[0] == first for c in (was, was.upper()))
+
+
 def _may_be(was: str, now: str) -> bool:
     """Whether a character is, in either case, the stub's: its first byte, then dropped ones."""
     first = ord(now) - STUB
