@@ -105,9 +105,11 @@ def arcs(text: str, at: int, shown: str) -> list[tuple[int, str]]:
     return list(found)
 
 
-def readings(text: str, shown: str) -> list[str]:
+def readings(text: str, shown: str) -> list[tuple[str, bool]]:
     """What text may be once UTF-8 sequences in it are read, the most usual first; nothing if there are none.
 
+    The second value says that a reading takes more changes of case than the first.
+
     Where a character may stand for several bytes, as after a change of case, all paths are
     followed, of more than `READINGS` those with the fewest changes of case.
     """
@@ -128,23 +130,33 @@ def readings(text: str, shown: str) -> list[str]:
             ends.setdefault(end, []).extend((cost + k, (out, path)) for cost, path in here)
     if not hit:
         return []
-    texts: dict[str, None] = {}
-    for _, path in sorted(ends[len(text)], key=lambda p: p[0])[:READINGS]:
+    texts: dict[str, bool] = {}
+    last = sorted(ends[len(text)], key=lambda p: p[0])[:READINGS]
+    for cost, path in last:
         parts = []
         while path is not None:
             parts.append(path[0])
             path = path[1]
-        texts["".join(reversed(parts))] = None
-    return list(texts)
+        texts.setdefault("".join(reversed(parts)), cost > last[0][0])
+    return list(texts.items())
 
 
-def levels(text: str, shown: str) -> Iterator[tuple[int, str]]:
-    """(level, reading) of text wrongly decoded once, twice and so on: each level is shorter, so they end."""
-    now, level = [text], 0
-    while now := list(dict.fromkeys(r for x in now for r in readings(x, shown)))[:READINGS]:
+def levels(text: str, shown: str) -> Iterator[tuple[int, str, bool]]:
+    """(level, reading, whether changes of case were taken) of text wrongly decoded once, twice and
+    so on: each level is shorter, so they end."""
+    now, level = {text: False}, 0
+    while now:
         level += 1
-        for reading in now:
-            yield level, reading
+        found: dict[str, bool] = {}
+        for x, changed in now.items():
+            for reading, more in readings(x, shown):
+                found[reading] = found.get(reading, True) and (changed or more)
+        now = dict(sorted(found.items(), key=lambda f: f[1])[:READINGS])
+        for reading, changed in now.items():
+            yield level, reading, changed
+
+
+CASED = ", case changed"
 
 
 #: Stand for a UTF-8 character of which only the first byte is left (U+E000 + that byte).
@@ -246,7 +258,7 @@ def candidates(unit: str) -> list[tuple[str, int, str]]:
     found: dict[str, tuple[str, int, str]] = {}
     whole: list[tuple[str, int, str]] = []
     for shown in SHOWN:
-        whole += ((f"{escaped}utf-8 as {shown} x{level}", level, now) for level, now in levels(start, shown))
+        whole += ((f"{escaped}utf-8 as {shown} x{level}{CASED if changed else ''}", level, now) for level, now, changed in levels(start, shown))
     for shown in SINGLE:
         for was, back in single_bytes(start, shown):
             if back != start and back not in found:
@@ -272,7 +284,7 @@ def _told_by_look(unit: str) -> bool:
     start = html.unescape(unit) if "&" in unit else unit
     if not any(c > "\x7f" and c.isalpha() for c in start) or _plausible(start):
         return False
-    return any(not re.search(GONE, now) and _plausible(now) for shown in SHOWN for _, now in levels(start, shown))
+    return any(not re.search(GONE, now) and _plausible(now) for shown in SHOWN for _, now, _ in levels(start, shown))
 
 
 @cache

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.channels import DROPPED, GONE, LOST, UNIT, candidates, fits, model_words, other_script, pattern_of, told_by_look, usual
+from gleanery.llm.channels import CASED, DROPPED, GONE, LOST, UNIT, candidates, fits, model_words, other_script, pattern_of, told_by_look, usual
 from gleanery.runtime import cut, written_bytes
 
 #: Log odds for each level of valid UTF-8 sequences, which clean text hardly holds by chance.
@@ -29,6 +29,8 @@ SEQUENCE = 2.5
 CONTROL, MISSING = 2.0, 6.0
 #: A channel of single bytes is told only by words of SHORT letters that gain at least CLEAR.
 SHORT, CLEAR = 3, 2.0
+#: Price of a reading that takes changes of case where another doesn't.
+RECASED = 3.0
 #: Prices: clean to damaged, damaged to clean, channel to channel, a piece the channel can't have made.
 ENTER, LEAVE, CHANGE, MISFIT = 4.0, 1.0, 5.0, 2.0
 
@@ -39,23 +41,31 @@ HAS_UNITS = "[^\\x00-\\x7f]|&"
 _GONE = re.compile(GONE)
 
 
-def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(unit, n): units beyond ASCII with the texts of the batch that hold them."""
+WORD_ROW, UNIT_ROW = 0, 1
+
+
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(kind, token, n): words and units beyond ASCII with the texts of the batch that hold them."""
+    words_of = lru_cache(1 << 16)(model_words)
     for batch in batches:
-        units = Counter()
+        words, units = Counter(), Counter()
         for text in batch.column(0).to_pylist():
-            units.update(set(UNIT.findall(text)))
-        yield pa.RecordBatch.from_arrays([pa.array(list(units), pa.string()), pa.array(list(units.values()), pa.int64())], names=["unit", "n"])
+            found = set(UNIT.findall(text))
+            units.update(found)
+            words.update({w for u in found for w in (words_of(u) if len(u) <= 200 else model_words(u))})
+        kinds = [WORD_ROW] * len(words) + [UNIT_ROW] * len(units)
+        yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array([*words, *units], pa.string()), pa.array([*words.values(), *units.values()], pa.int64())], names=["kind", "token", "n"])
 
 
-def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, n) of units (unit, n). Units that are damage by their look are no evidence for their own words."""
+def _no_evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, n), n below 0: the words of units (unit, n) that are damage by their look, which are
+    no evidence for their own words."""
     for batch in batches:
         words = Counter()
         for unit, n in zip(*(c.to_pylist() for c in batch.columns)):
-            if not told_by_look(unit):
+            if told_by_look(unit):
                 for w in set(model_words(unit)):
-                    words[w] += n
+                    words[w] -= n
         yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], names=["word", "n"])
 
 
@@ -183,9 +193,12 @@ class Repair:
         self.kind = df.schema[key].dataType.simpleString()
         self.documents = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
         self.documents = self.documents.filter(F.col("text").rlike(HAS_UNITS))
-        counted = self.documents.select("text").distinct().mapInArrow(_units, "unit string, n bigint")
-        self.units = cut(counted.groupBy("unit").agg(F.sum("n").alias("n")))
-        self.words = cut(self._spread(self.units).mapInArrow(_words, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")))
+        counted = self.documents.select("text").distinct().mapInArrow(_scan, "kind int, token string, n bigint")
+        tokens = cut(counted.groupBy("kind", "token").agg(F.sum("n").alias("n")))
+        self.units = tokens.filter(f"kind = {UNIT_ROW}").select(F.col("token").alias("unit"), "n")
+        words = tokens.filter(f"kind = {WORD_ROW}").select(F.col("token").alias("word"), "n")
+        less = self._spread(self.units).mapInArrow(_no_evidence, "word string, n bigint")
+        self.words = cut(words.union(less).groupBy("word").agg(F.sum("n").alias("n")).filter("n > 0"))
         self._known: DataFrame | None = None
 
     def _spread(self, units: DataFrame) -> DataFrame:
@@ -216,6 +229,7 @@ class Repair:
         odds = F.when(F.col("restored").rlike(GONE), F.lit(MISSING)).otherwise(F.when(vague, F.least(gain, F.lit(0.0))).otherwise(gain))
         odds = odds + SEQUENCE * F.col("level") + F.when(F.col("unit").rlike("[\u0080-\u0084\u0086-\u009f]"), CONTROL).otherwise(0.0)
         odds = odds + F.when(F.col("restored").contains("\ufeff") & (F.col("level") > 0), MISSING).otherwise(0.0)
+        odds = odds - F.when(F.col("channel").endswith(CASED), RECASED).otherwise(0.0)
         x = x.withColumn("odds", odds).filter("odds >= 0")
         return x.groupBy("unit").agg(F.collect_list(F.struct("channel", "restored", "odds")).alias("found"))
 
