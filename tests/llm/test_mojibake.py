@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from gleanery.llm.channels import candidates, fits, pattern_of, told_by_look
+from gleanery.llm.channels import PART, candidates, fits, pattern_of, readings, told_by_look
 from gleanery.llm.mojibake import Repair, best_path
 
 SENTENCES = [
@@ -131,3 +131,26 @@ def test_lost_characters_of_other_scripts(spark):
     rows = {r["doc_id"]: r for r in Repair(spark.createDataFrame(docs, "doc_id long, text string")).restored().collect()}
     assert {k: rows[k]["text"] for k in cases} == {k: t for k, (_, t) in cases.items()}
     assert [k for k in cases if rows[k]["open"]] == [105]
+
+
+def test_lattice_keeps_all_readings():
+    assert readings("fÃ¼r", "cp1252") == [("für", False)]
+    assert ("—", False) in readings("ΓÇö", "cp437") and ("’", True) not in readings("ΓÇö", "cp1252")
+    assert len(readings("ΓÇö", "cp437")) > 1  # 'ö' may have been 'Ö', whose byte is another
+    assert readings("Ã�", "latin-1") == [(chr(PART + 0xC3), False)]  # the first byte is known
+    assert fits("für", "f" + chr(PART + 0xC3) + "r") and not fits("fłr", "f" + chr(PART + 0xC3) + "r")
+    assert readings("plain", "cp1252") == [] and readings("ü" * 60_000, "cp1252") == []
+    deep = "für"
+    for _ in range(8):
+        deep = shown(deep, "cp1252")
+    assert ("utf-8 as cp1252 x8", 8, "für") in candidates(deep)
+
+
+def test_measured_restoration(planted):
+    """Of planted damage without lost bytes nearly all comes back exactly."""
+    repair, truth = planted
+    rows = {r["doc_id"]: r["text"] for r in repair.restored().collect()}
+    whole = [k for k in truth if k % 100 != 3]
+    rate = sum(rows[k] == truth[k] for k in whole) / len(whole)
+    print(f"restored exactly: {rate:.3f} of {len(whole)}")
+    assert rate >= 0.95
