@@ -21,15 +21,18 @@ def hex_value(value: Column) -> Column:
     return F.when(text.rlike("^[0-9a-f]+$"), text)
 
 
-def alias_table(names: DataFrame, name: str, aliases: str = "aliases") -> DataFrame:
-    """(alias, canonical) of a name table; a name is an alias of itself, the first in order wins."""
+def alias_table(names: DataFrame, name: str, aliases: str = "aliases", order: str | None = None) -> DataFrame:
+    """(alias, canonical) of a name table; a name is an alias of itself.
+
+    Of names with a common alias the first in `order` wins, without `order` the least name.
+    """
     every = F.concat(F.array(F.col(name)), F.coalesce(F.col(aliases), F.array().cast("array<string>")))
     return (
-        names.select(F.col(name).alias("canonical"), F.explode(every).alias("alias"))
-        .select("canonical", normalised(F.col("alias")).alias("alias"))
+        names.select(F.col(name).alias("canonical"), F.col(order or name).alias("place"), F.explode(every).alias("alias"))
+        .select("canonical", "place", normalised(F.col("alias")).alias("alias"))
         .filter("alias is not null")
         .groupBy("alias")
-        .agg(F.min("canonical").alias("canonical"))
+        .agg(F.min(F.struct("place", "canonical"))["canonical"].alias("canonical"))
     )
 
 

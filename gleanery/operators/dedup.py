@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.operators.hamming import near_pairs
+from gleanery.runtime import cut
 
 LEDGER = ["class_name", "source", "family", "source_path", "sha256", "reason", "kept_instead", "detail"]
 
@@ -20,22 +21,29 @@ def uid(source: Column | None = None, path: Column | None = None) -> Column:
     return F.concat_ws("/", F.col("source") if source is None else source, F.col("source_path") if path is None else path)
 
 
-def ledger(rows: DataFrame, reason: Column, kept_instead: Column | None = None, detail: Column | None = None) -> DataFrame:
+def ledger(rows: DataFrame, reason: Column, kept_instead: Column | None = None, detail: Column | None = None, more: tuple[str, ...] = ()) -> DataFrame:
     none = F.lit(None).cast("string")
     extra = {"reason": reason, "kept_instead": none if kept_instead is None else kept_instead, "detail": none if detail is None else detail}
-    return rows.select(*(extra[c].alias(c) if c in extra else F.col(c) for c in LEDGER))
+    return rows.select(*(extra[c].alias(c) if c in extra else F.col(c) for c in LEDGER), *more)
 
 
-def keep_first(df: DataFrame, keys: list[str], order: list[str], name: str, reason: str = "exact_duplicate") -> tuple[DataFrame, DataFrame]:
-    """The first row of each key in `order`, which must tell rows apart; rows with a null key stay."""
+def keep_first(df: DataFrame, keys: list[str], order: list[str], name: str, reason: str = "exact_duplicate", unread: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """The first row of each key in `order`, which must tell rows apart.
+
+    Rows with a null key stay, or with `unread`, the reason to give, leave. Only keys of several
+    rows are joined back, so that single ones pass by.
+    """
     known = F.lit(True)
     for k in keys:
         known &= F.col(k).isNotNull()
-    first = df.filter(known).groupBy(*keys).agg(F.min(F.struct(*order)).alias("__first"), F.min(F.struct(*order, F.col(name).alias("__name")))["__name"].alias("__kept"))
+    first = df.filter(known).groupBy(*keys).agg(F.min(F.struct(*order, F.col(name).alias("__name"))).alias("__first"), F.count("*").alias("__n"))
+    first = first.filter("__n > 1").select(*keys, F.struct(*(F.col("__first")[c].alias(c) for c in order)).alias("__first"), F.col("__first")["__name"].alias("__kept"))
     marked = df.join(first, keys, "left").withColumn("__drop", F.coalesce(F.struct(*order) > F.col("__first"), F.lit(False)))
-    kept = marked.filter(~F.col("__drop")).select(*df.columns)
-    removed = marked.filter("__drop")
-    return kept, ledger(removed, F.lit(reason), F.col("__kept"))
+    if unread is None:
+        return marked.filter(~F.col("__drop")).select(*df.columns), ledger(marked.filter("__drop"), F.lit(reason), F.col("__kept"))
+    kept = marked.filter(~F.col("__drop") & known).select(*df.columns)
+    removed = marked.filter(F.col("__drop") | ~known)
+    return kept, ledger(removed, F.when(known, reason).otherwise(unread), F.col("__kept"))
 
 
 def label_conflicts(df: DataFrame, content: str, label: str) -> tuple[DataFrame, DataFrame]:
@@ -52,7 +60,9 @@ def drop_family_copies(df: DataFrame, key: str, digits: str, rank: str, limit: i
     """Members of a family leave if near a record of the family's own source in the same class.
 
     The primary record that comes first by (`rank`, source_path) is named. Primary records stay.
+    Ledger rows have the record's `key` too.
     """
+    df = cut(df)
     primary, member = df.filter("source = family"), df.filter("source <> family")
     named = primary.withColumn("__first", F.struct(F.col(rank), F.col("source_path")))
     firsts = named.groupBy(digits, "class_name", "family").agg(F.min("__first").alias("__first"), F.min(key).alias(key))
@@ -62,7 +72,7 @@ def drop_family_copies(df: DataFrame, key: str, digits: str, rank: str, limit: i
     on = [digits, "class_name", "family"]
     removed = member.join(hit, on)
     kept = df.join(hit.withColumn("__hit", F.lit(True)), on, "left").filter("__hit is null or source = family").select(*df.columns)
-    return kept, ledger(removed, F.concat(F.lit("near_duplicate_of_"), "family"), uid(F.col("family"), F.col("__path")))
+    return kept, ledger(removed, F.concat(F.lit("near_duplicate_of_"), "family"), uid(F.col("family"), F.col("__path")), more=(key,))
 
 
 def drop_held_out(df: DataFrame, held_out: DataFrame, key: str, contents: list[str], digits: str, limit: int = 5) -> tuple[DataFrame, DataFrame]:
@@ -87,6 +97,6 @@ def drop_held_out(df: DataFrame, held_out: DataFrame, key: str, contents: list[s
 
 
 def exact_groups(df: DataFrame, content: str, name: str) -> DataFrame:
-    """(content, members, n): content of several records."""
+    """(content, member, n): a row for each record of content that several records have."""
     some = df.filter(F.col(content).isNotNull()).groupBy(content).agg(F.count("*").alias("n")).filter("n > 1")
-    return df.join(some.select(content), content).groupBy(content).agg(F.sort_array(F.collect_list(name)).alias("members"), F.count("*").alias("n"))
+    return df.select(content, F.col(name).alias("member")).join(some, content)

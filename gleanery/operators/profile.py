@@ -67,13 +67,15 @@ def overlap_verdict(per_class: DataFrame, shared: DataFrame, sizes: DataFrame, r
 
 
 def variant_summary(df: DataFrame) -> DataFrame:
-    """Counts by class and split, family, source, split and family, class, and split: one pass of grouping sets."""
-    df.createOrReplaceTempView("__variant")
-    return df.sparkSession.sql(
-        """SELECT CAST(grouping_id() AS BIGINT) AS level, class_name, split, family, source, count(*) AS n FROM __variant
-           GROUP BY class_name, split, family, source
-           GROUPING SETS ((class_name, split), (class_name, family), (class_name, source), (class_name, split, family), (class_name), (split))"""
-    )
+    """Of the full and the balanced variant: counts by class and split, family, source, split and
+    family, class, and split; one pass of grouping sets over both."""
+    in_full = F.col("split").isNotNull()
+    variants = F.array_compact(F.array(F.when(in_full, "full"), F.when(in_full & F.col("in_balanced"), "balanced")))
+    c, s, f, o = (F.col(x) for x in ("class_name", "split", "family", "source"))
+    v = F.col("variant")
+    sets = [[v, c, s], [v, c, f], [v, c, o], [v, c, s, f], [v, c], [v, s]]
+    x = df.select(F.explode(variants).alias("variant"), c, s, f, o).groupingSets(sets, v, c, s, f, o)
+    return x.agg(F.count("*").alias("n"), F.grouping_id(v, c, s, f, o).cast("bigint").alias("level"))
 
 
 def removal_counts(removed: DataFrame) -> DataFrame:

@@ -10,24 +10,30 @@ from gleanery.functions.names import alias_table, hex_value, resolve
 from gleanery.operators import dedup, graph, profile, verify
 from gleanery.operators.hamming import members, near_links, near_pairs
 from gleanery.plans.registry import query
-from gleanery.plans.tables import _HEX, SPLITS, SQL_ALIASES, SQL_HELD, SQL_POOL, SQL_WORDS, classes, held_out, pool, sql_apart, sql_words
+from gleanery.plans.tables import _HEX, SPLITS, SQL_ALIASES, SQL_HELD, SQL_POOL, SQL_WORDS, classes, held_out, pool, sql_apart, sql_near, sql_words
 from gleanery.runtime import table
 
 W_POOL = "WITH RECURSIVE " + SQL_POOL
-_NEAR = W_POOL + SQL_WORDS + f", near AS (SELECT a.image_id AS a_id, b.image_id AS b_id, {sql_apart('a.h', 'b.h')} AS distance, a.class_name AS a_class, b.class_name AS b_class, a.source AS a_source, b.source AS b_source, a.split AS a_split, b.split AS b_split FROM w a JOIN w b ON a.image_id < b.image_id WHERE {sql_apart('a.h', 'b.h')} <= 5)"
+
+
+def _quoted(values: list[str]) -> str:
+    return ", ".join(f"'{v}'" for v in values)
+
+
+_NEAR = W_POOL + SQL_WORDS + f", near AS (SELECT a.image_id AS a_id, b.image_id AS b_id, {sql_apart('a.h', 'b.h')} AS distance, a.class_name AS a_class, b.class_name AS b_class, a.source AS a_source, b.source AS b_source, a.split AS a_split, b.split AS b_split FROM w a JOIN w b ON a.image_id < b.image_id WHERE {sql_near('a', 'b')})"
 _EDGES = ", e AS (SELECT a_id AS x, b_id AS y FROM near UNION SELECT b_id, a_id FROM near), reach AS (SELECT x AS node, x AS other FROM e UNION SELECT r.node, e.y FROM reach r JOIN e ON e.x = r.other), comp AS (SELECT node, min(other) AS component FROM reach GROUP BY node), grouped AS (SELECT p.*, coalesce(c.component, p.image_id) AS component FROM pool p LEFT JOIN comp c ON c.node = p.image_id)"
 
 
 @query(f"WITH {SQL_ALIASES} SELECT class_name AS raw, canonical, count(*) AS n FROM pool_images LEFT JOIN calias ON k = nullif(translate(lower(trim(class_name)), ' -', '__'), '') GROUP BY ALL")
 def alias_resolve(spark: SparkSession, d: str) -> DataFrame:
-    x = resolve(table(spark, d, "pool_images"), "class_name", alias_table(table(spark, d, "classes"), "class_name"), "canonical")
+    x = resolve(table(spark, d, "pool_images"), "class_name", alias_table(table(spark, d, "classes"), "class_name", order="idx"), "canonical")
     return x.groupBy(F.col("class_name").alias("raw"), "canonical").agg(F.count("*").alias("n"))
 
 
 @query("""SELECT lower(regexp_extract(source_path, '\\.([A-Za-z0-9]+)$', 1)) AS ext,
-    (split_part(source_path, '/', -1) IN ('.DS_Store', 'Thumbs.db', 'desktop.ini', '.gitkeep') OR split_part(source_path, '/', -1) LIKE '.\\_%' ESCAPE '\\'
-     OR list_has_any(string_split(source_path, '/'), ['__MACOSX', '.AppleDouble', '.Spotlight-V100', '.Trashes', '$RECYCLE.BIN', 'System Volume Information'])) AS metadata, count(*) AS n
-    FROM removed_images GROUP BY ALL""")
+    (split_part(source_path, '/', -1) IN (@names) OR split_part(source_path, '/', -1) LIKE '.\\_%' ESCAPE '\\'
+     OR list_has_any(string_split(source_path, '/'), [@folders])) AS metadata, count(*) AS n
+    FROM removed_images GROUP BY ALL""".replace("@names", _quoted(S.METADATA_NAMES)).replace("@folders", _quoted(S.METADATA_FOLDERS)))
 def path_inventory(spark: SparkSession, d: str) -> DataFrame:
     x = table(spark, d, "removed_images").withColumn("ext", S.extension(F.col("source_path"))).withColumn("metadata", S.is_metadata(F.col("source_path")))
     return x.groupBy("ext", "metadata").agg(F.count("*").alias("n"))
@@ -46,8 +52,8 @@ def staged_names(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""SELECT batch_no, CASE WHEN width IS NULL OR height IS NULL THEN 'unreadable' WHEN width * height = 0 THEN 'empty'
-    WHEN lower(regexp_extract(source_path, '\\.([A-Za-z0-9]+)$', 1)) NOT IN ('jpg', 'jpeg', 'png', 'bmp', 'webp') THEN 'unsupported extension'
-    WHEN least(width, height) < 32 THEN 'too small' ELSE 'ok' END AS reason, count(*) AS n FROM intake_images GROUP BY ALL""")
+    WHEN lower(regexp_extract(source_path, '\\.([A-Za-z0-9]+)$', 1)) NOT IN (@extensions) THEN 'unsupported extension'
+    WHEN least(width, height) < 32 THEN 'too small' ELSE 'ok' END AS reason, count(*) AS n FROM intake_images GROUP BY ALL""".replace("@extensions", _quoted(S.EXTENSIONS)))
 def inspect_reasons(spark: SparkSession, d: str) -> DataFrame:
     from gleanery.sources.images import rejection
 
@@ -56,10 +62,10 @@ def inspect_reasons(spark: SparkSession, d: str) -> DataFrame:
     return x.groupBy("batch_no", F.coalesce(reason, F.lit("ok")).alias("reason")).agg(F.count("*").alias("n"))
 
 
-@query("""SELECT status, message, count(*) AS n FROM (SELECT CASE WHEN file IS NULL OR trim(file) = '' THEN 400 WHEN lower(regexp_extract(file, '\\.([A-Za-z0-9]+)$', 1)) NOT IN ('jpg', 'jpeg', 'png', 'bmp', 'webp') THEN 415
+@query("""SELECT status, message, count(*) AS n FROM (SELECT CASE WHEN file IS NULL OR trim(file) = '' THEN 400 WHEN lower(regexp_extract(file, '\\.([A-Za-z0-9]+)$', 1)) NOT IN (@extensions) THEN 415
     WHEN sha256 IS NULL OR trim(sha256) = '' THEN 400 WHEN phash IS NULL OR trim(phash) = '' THEN 400 ELSE 200 END AS status,
-    CASE WHEN file IS NULL OR trim(file) = '' THEN 'no file name' WHEN lower(regexp_extract(file, '\\.([A-Za-z0-9]+)$', 1)) NOT IN ('jpg', 'jpeg', 'png', 'bmp', 'webp') THEN 'unsupported extension'
-    WHEN sha256 IS NULL OR trim(sha256) = '' THEN 'empty file' WHEN phash IS NULL OR trim(phash) = '' THEN 'not an image' ELSE 'ok' END AS message FROM v3_external_fingerprints) GROUP BY ALL""")
+    CASE WHEN file IS NULL OR trim(file) = '' THEN 'no file name' WHEN lower(regexp_extract(file, '\\.([A-Za-z0-9]+)$', 1)) NOT IN (@extensions) THEN 'unsupported extension'
+    WHEN sha256 IS NULL OR trim(sha256) = '' THEN 'empty file' WHEN phash IS NULL OR trim(phash) = '' THEN 'not an image' ELSE 'ok' END AS message FROM v3_external_fingerprints) GROUP BY ALL""".replace("@extensions", _quoted(S.EXTENSIONS)))
 def upload_rules(spark: SparkSession, d: str) -> DataFrame:
     from gleanery.sources.images import upload_status
 
@@ -77,12 +83,12 @@ def stable_seeds(spark: SparkSession, d: str) -> DataFrame:
     return x.withColumn("seed", S.stable_seed(F.lit("42"), F.col("class_name"), F.col("family")).cast("string"))
 
 
-@query(W_POOL + SQL_WORDS + f" SELECT pair_id, n.distance, ({sql_apart('a.h', 'b.h')}) AS recomputed FROM near_pairs n JOIN w a ON a.image_id = n.image_a JOIN w b ON b.image_id = n.image_b")
+@query(W_POOL + SQL_WORDS + f" SELECT pair_id, n.distance, ({sql_apart('a.h', 'b.h')}) AS recomputed FROM near_pairs n JOIN w a ON a.image_id = n.image_a JOIN w b ON b.image_id = n.image_b AND length(a.phash) = length(b.phash)")
 def recomputed_distances(spark: SparkSession, d: str) -> DataFrame:
-    p = pool(spark, d, "phash").filter("length(phash) = 64").select("image_id", "phash")
+    p = pool(spark, d, "phash").filter("phash is not null").select("image_id", "phash")
     x = table(spark, d, "near_pairs").select("pair_id", "image_a", "image_b", "distance")
     x = x.join(p.withColumnsRenamed({"image_id": "image_a", "phash": "ha"}), "image_a").join(p.withColumnsRenamed({"image_id": "image_b", "phash": "hb"}), "image_b")
-    return x.select("pair_id", "distance", S.hamming(F.col("ha"), F.col("hb")).alias("recomputed"))
+    return x.filter("length(ha) = length(hb)").select("pair_id", "distance", S.hamming(F.col("ha"), F.col("hb")).alias("recomputed"))
 
 
 @query(W_POOL + " SELECT class_name, count(*) AS n, round(avg(width * height / 1e6), 10) AS megapixels, round(avg(CASE WHEN height = 0 THEN 0.0 ELSE width / height END), 10) AS aspect, format('{:.1f}%', 100.0 * count(width) / count(*)) AS with_size FROM pool GROUP BY class_name")
@@ -125,10 +131,9 @@ def too_few(spark: SparkSession, d: str) -> DataFrame:
     return profile.too_few(_class_counts(spark, d), 200)
 
 
-@query(W_POOL + " SELECT sha256, array_to_string(list_sort(list(source || '/' || source_path)), ';') AS members, count(*) AS n FROM pool WHERE sha256 IS NOT NULL GROUP BY sha256 HAVING count(*) > 1")
+@query(W_POOL + ", s AS (SELECT sha256, count(*) AS n FROM pool WHERE sha256 IS NOT NULL GROUP BY sha256 HAVING count(*) > 1) SELECT sha256, source || '/' || source_path AS member, n FROM pool JOIN s USING (sha256)")
 def exact_dup_groups(spark: SparkSession, d: str) -> DataFrame:
-    x = dedup.exact_groups(pool(spark, d, "source", "source_path", "sha256").withColumn("uid", dedup.uid()), "sha256", "uid")
-    return x.withColumn("members", F.array_join("members", ";"))
+    return dedup.exact_groups(pool(spark, d, "source", "source_path", "sha256").withColumn("uid", dedup.uid()), "sha256", "uid")
 
 
 def _ordered(spark: SparkSession, d: str) -> DataFrame:
@@ -192,9 +197,9 @@ def _reps(by: str = "") -> str:
     """Pairs of near classes of equal hash (and `by`), by their least images."""
     extra = f", {by}" if by else ""
     words = ", ".join(f"{w} AS h{k}" for k, w in enumerate(sql_words("phash")))
-    r = "WITH " + SQL_POOL + f", r AS (SELECT min(image_id) AS image_id, phash{extra} FROM pool WHERE length(phash) = 64 GROUP BY phash{extra}), w AS (SELECT *, {words} FROM r)"
+    r = "WITH " + SQL_POOL + f", r AS (SELECT min(image_id) AS image_id, phash{extra} FROM pool WHERE phash IS NOT NULL GROUP BY phash{extra}), w AS (SELECT *, {words} FROM r)"
     both = f", a.{by} AS a_by, b.{by} AS b_by" if by else ""
-    return r + f", pairs AS (SELECT a.image_id AS a_id, b.image_id AS b_id, {sql_apart('a.h', 'b.h')} AS distance{both} FROM w a JOIN w b ON a.image_id < b.image_id WHERE {sql_apart('a.h', 'b.h')} <= 5)"
+    return r + f", pairs AS (SELECT a.image_id AS a_id, b.image_id AS b_id, {sql_apart('a.h', 'b.h')} AS distance{both} FROM w a JOIN w b ON a.image_id < b.image_id WHERE {sql_near('a', 'b')})"
 
 
 @query(_reps() + " SELECT a_id, b_id, distance FROM pairs")
@@ -259,24 +264,23 @@ def overlap_verdict(spark: SparkSession, d: str) -> DataFrame:
     return profile.overlap_verdict(profile.overlap(g, "component"), profile.shared_sources(g, "component"), sizes).withColumn("value", F.round("value", 10))
 
 
-@query(_NEAR + " , m AS (SELECT m.image_id, m.class_name, m.family, p.source AS ps, p.source_path AS pp, p.image_id AS pid, row_number() OVER (PARTITION BY m.image_id ORDER BY p.source, p.source_path, p.image_id) AS k FROM w m JOIN w p ON p.source = p.family AND m.source <> m.family AND p.family = m.family AND p.class_name = m.class_name WHERE " + sql_apart("m.h", "p.h") + " <= 5) SELECT image_id, 'near_duplicate_of_' || family AS reason, family || '/' || pp AS kept_instead FROM m WHERE k = 1")
+@query(_NEAR + " , m AS (SELECT m.image_id, m.class_name, m.family, p.source AS ps, p.source_path AS pp, p.image_id AS pid, row_number() OVER (PARTITION BY m.image_id ORDER BY p.source, p.source_path, p.image_id) AS k FROM w m JOIN w p ON p.source = p.family AND m.source <> m.family AND p.family = m.family AND p.class_name = m.class_name WHERE " + sql_near("m", "p") + ") SELECT image_id, 'near_duplicate_of_' || family AS reason, family || '/' || pp AS kept_instead FROM m WHERE k = 1")
 def family_near_dedup(spark: SparkSession, d: str) -> DataFrame:
     p = pool(spark, d, "class_name", "source", "family", "source_path", "sha256", "phash").withColumn("rank", F.col("source"))
     _, removed = dedup.drop_family_copies(p, "image_id", "phash", "rank")
-    named = removed.join(p.select("image_id", "source", "source_path"), ["source", "source_path"])
-    return named.select("image_id", "reason", "kept_instead")
+    return removed.select("image_id", "reason", "kept_instead")
 
 
-_HELD = W_POOL + SQL_WORDS + ", " + SQL_HELD + ", hw AS (SELECT *, " + ", ".join(f"('0x' || substr(phash, {16 * k + 1}, 16))::UBIGINT AS h{k}" for k in range(4)) + """ FROM held WHERE length(phash) = 64),
-    hits AS (SELECT image_id, h.file, -1 AS apart FROM pool p JOIN held h ON h.sha256 = p.sha256 OR h.sha256 = p.original_sha256 UNION SELECT image_id, h.file, """ + sql_apart("w.h", "h.h") + " FROM w JOIN hw h ON " + sql_apart("w.h", "h.h") + " <= 5), best AS (SELECT image_id, file, min(apart) AS apart FROM hits GROUP BY ALL)"
+_HELD = W_POOL + SQL_WORDS + ", " + SQL_HELD + ", hw AS (SELECT *, " + ", ".join(f"{x} AS h{k}" for k, x in enumerate(sql_words("phash"))) + """ FROM held WHERE phash IS NOT NULL),
+    hits AS (SELECT image_id, h.file, -1 AS apart FROM pool p JOIN held h ON h.sha256 = p.sha256 OR h.sha256 = p.original_sha256 UNION SELECT image_id, h.file, """ + sql_apart("w.h", "h.h") + " FROM w JOIN hw h ON " + sql_near("w", "h") + "), best AS (SELECT image_id, file, min(apart) AS apart FROM hits GROUP BY ALL)"
 
 
 _HELD_INTAKE = (
     "WITH iw AS (SELECT intake_id, " + _HEX.format("sha256") + " AS sha256, " + _HEX.format("phash") + " AS phash FROM intake_images), "
     + SQL_HELD
-    + ", w AS (SELECT *, " + ", ".join(f"{x} AS h{k}" for k, x in enumerate(sql_words("phash"))) + " FROM iw WHERE length(phash) = 64), hw AS (SELECT *, "
-    + ", ".join(f"{x} AS h{k}" for k, x in enumerate(sql_words("phash"))) + """ FROM held WHERE length(phash) = 64),
-    hits AS (SELECT intake_id, h.file, -1 AS apart FROM iw JOIN held h ON h.sha256 = iw.sha256 UNION SELECT intake_id, h.file, """ + sql_apart("w.h", "h.h") + " FROM w JOIN hw h ON " + sql_apart("w.h", "h.h") + " <= 5), best AS (SELECT intake_id, file, min(apart) AS apart FROM hits GROUP BY ALL)"
+    + ", w AS (SELECT *, " + ", ".join(f"{x} AS h{k}" for k, x in enumerate(sql_words("phash"))) + " FROM iw WHERE phash IS NOT NULL), hw AS (SELECT *, "
+    + ", ".join(f"{x} AS h{k}" for k, x in enumerate(sql_words("phash"))) + """ FROM held WHERE phash IS NOT NULL),
+    hits AS (SELECT intake_id, h.file, -1 AS apart FROM iw JOIN held h ON h.sha256 = iw.sha256 UNION SELECT intake_id, h.file, """ + sql_apart("w.h", "h.h") + " FROM w JOIN hw h ON " + sql_near("w", "h") + "), best AS (SELECT intake_id, file, min(apart) AS apart FROM hits GROUP BY ALL)"
 )
 
 
@@ -298,9 +302,20 @@ def split_counts(spark: SparkSession, d: str) -> DataFrame:
     return profile.split_counts(pool(spark, d, "class_name", "split"), classes(spark, d), SPLITS)
 
 
-@query(W_POOL + " SELECT grouping(class_name, split, family, source) AS level, class_name, split, family, source, count(*) AS n FROM pool GROUP BY GROUPING SETS ((class_name, split), (class_name, family), (class_name, source), (class_name, split, family), (class_name), (split))")
+@query(W_POOL + """, v AS (SELECT 'full' AS variant, * FROM pool WHERE split IS NOT NULL UNION ALL SELECT 'balanced', * FROM pool WHERE split IS NOT NULL AND in_balanced)
+    SELECT variant, grouping(class_name, split, family, source) AS level, class_name, split, family, source, count(*) AS n FROM v
+    GROUP BY variant, GROUPING SETS ((class_name, split), (class_name, family), (class_name, source), (class_name, split, family), (class_name), (split))""")
 def variant_summary(spark: SparkSession, d: str) -> DataFrame:
-    return profile.variant_summary(pool(spark, d, "class_name", "split", "family", "source"))
+    return profile.variant_summary(pool(spark, d, "class_name", "split", "family", "source", "in_balanced"))
+
+
+@query(W_POOL + """, r AS (SELECT *, row_number() OVER (PARTITION BY sha256 ORDER BY source || '/' || source_path, image_id) AS k FROM pool)
+    SELECT CASE WHEN sha256 IS NULL THEN 'unreadable' ELSE 'exact_duplicate' END AS reason, source, count(*) AS n FROM r WHERE sha256 IS NULL OR k > 1 GROUP BY ALL""")
+def exact_dedup_unread(spark: SparkSession, d: str) -> DataFrame:
+    """Copies leave, and so does what has no content hash."""
+    p = pool(spark, d, "class_name", "source", "family", "source_path", "sha256").withColumn("uid", dedup.uid())
+    _, removed = dedup.keep_first(p, ["sha256"], ["uid", "image_id"], "uid", unread="unreadable")
+    return removed.groupBy("reason", "source").agg(F.count("*").alias("n"))
 
 
 @query(W_POOL + " SELECT class_name, source, count(*) AS expected FROM pool WHERE class_name IS NOT NULL GROUP BY ALL")
@@ -329,7 +344,7 @@ def manifest_diff(spark: SparkSession, d: str) -> DataFrame:
 _STRADDLE = "(SELECT count(*) FROM (SELECT {0} FROM pool WHERE {0} IS NOT NULL AND split IS NOT NULL GROUP BY {0} HAVING count(DISTINCT split) > 1))"
 _CHECKS = (
     _HELD
-    + f", q AS (SELECT phash, split, min(image_id) AS image_id, any_value(h0) AS h0, any_value(h1) AS h1, any_value(h2) AS h2, any_value(h3) AS h3 FROM w WHERE split IS NOT NULL GROUP BY phash, split), near AS (SELECT a.image_id FROM q a JOIN q b ON a.image_id < b.image_id AND a.split <> b.split WHERE {sql_apart('a.h', 'b.h')} <= 5)"
+    + f", q AS (SELECT phash, split, min(image_id) AS image_id, any_value(h0) AS h0, any_value(h1) AS h1, any_value(h2) AS h2, any_value(h3) AS h3 FROM w WHERE split IS NOT NULL GROUP BY phash, split), near AS (SELECT a.image_id FROM q a JOIN q b ON a.image_id < b.image_id AND a.split <> b.split WHERE {sql_near('a', 'b')})"
     + ", v AS (SELECT 'exact_straddles_splits' AS name, " + _STRADDLE.format("sha256") + " AS violations UNION ALL SELECT 'group_straddles_splits', " + _STRADDLE.format("group_id")
     + """ UNION ALL SELECT 'near_straddles_splits', (SELECT count(*) FROM near)
     UNION ALL SELECT 'held_out_exact', (SELECT count(DISTINCT image_id) FROM hits WHERE apart < 0)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gleanery.functions.names import alias_table, hex_value, resolve
 from gleanery.runtime import table
 
+# Class names, columns and splits of the tables.
 LABELS = ["Healthy", "Yellow Rust", "Brown Rust", "Powdery Mildew", "Septoria Blotch", "Tan Spot", "Loose Smut", "Stem Rust", "Black Chaff"]
 P_COLUMNS = ["p_" + x.lower().replace(" ", "_") for x in LABELS]
 SPLITS = ["train", "validation", "test"]
@@ -24,7 +25,7 @@ def pool(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     x = table(spark, d, "pool_images").select(*wanted).distinct()
     x = x.withColumns({c: hex_value(F.col(c)) for c in ("sha256", "original_sha256", "phash") if c in wanted})
     if "class_name" in wanted:
-        x = resolve(x.withColumnRenamed("class_name", "raw_class"), "raw_class", alias_table(table(spark, d, "classes"), "class_name"), "class_name")
+        x = resolve(x.withColumnRenamed("class_name", "raw_class"), "raw_class", alias_table(table(spark, d, "classes"), "class_name", order="idx"), "class_name")
     if "split" in wanted:
         x = resolve(x.withColumnRenamed("split", "raw_split"), "raw_split", alias_table(table(spark, d, "split_targets"), "split_name"), "split")
     return x.select(*wanted)
@@ -42,7 +43,7 @@ def predictions(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     """Predictions without repeats, classes resolved; with ``p``, all probabilities, if no columns are named."""
     x = table(spark, d, "predictions")
     x = (x.select(*dict.fromkeys([*SCORED, *columns])) if columns else x).distinct()
-    names = alias_table(table(spark, d, "classes"), "class_name")
+    names = alias_table(table(spark, d, "classes"), "class_name", order="idx")
     x = resolve(x.withColumnRenamed("actual_class", "raw_actual"), "raw_actual", names, "actual_class")
     x = resolve(x.withColumnRenamed("predicted_class", "raw_predicted"), "raw_predicted", names, "predicted_class")
     x = x.drop("raw_actual", "raw_predicted")
@@ -53,15 +54,15 @@ def manifest(spark: SparkSession, d: str) -> DataFrame:
     """Held-out conditions: blanks as 'unspecified', lower case, unknown classes null."""
     x = table(spark, d, "external_manifest")
     conditions = {c: F.coalesce(F.nullif(F.lower(F.trim(c)), F.lit("")), F.lit("unspecified")) for c in ("lighting", "background", "distance", "angle", "quality")}
-    x = resolve(x.withColumns(conditions), "true_class", alias_table(table(spark, d, "classes"), "class_name"), "actual_class")
+    x = resolve(x.withColumns(conditions), "true_class", alias_table(table(spark, d, "classes"), "class_name", order="idx"), "actual_class")
     return x.select("file", "actual_class", *conditions)
 
 
 _NORM = "nullif(translate(lower(trim({0})), ' -', '__'), '')"
 _HEX = "nullif(regexp_replace(regexp_replace(lower({0}), '[\\s:-]+', '', 'g'), '^0x', ''), '')"
-_ALIAS = "{n} AS (SELECT k, min(canonical) AS canonical FROM (SELECT {c} AS canonical, " + _NORM.format("a") + " AS k FROM (SELECT {c}, unnest(list_append(aliases, {c})) AS a FROM {t})) WHERE k IS NOT NULL GROUP BY k)"
+_ALIAS = "{n} AS (SELECT k, arg_min(canonical, ({o}, canonical)) AS canonical FROM (SELECT {c} AS canonical, {o}, " + _NORM.format("a") + " AS k FROM (SELECT {c}, {o}, unnest(list_append(aliases, {c})) AS a FROM {t})) WHERE k IS NOT NULL GROUP BY k)"
 
-SQL_ALIASES = _ALIAS.format(n="calias", c="class_name", t="classes") + ", " + _ALIAS.format(n="salias", c="split_name", t="split_targets")
+SQL_ALIASES = _ALIAS.format(n="calias", c="class_name", t="classes", o="idx") + ", " + _ALIAS.format(n="salias", c="split_name", t="(SELECT *, split_name AS name FROM split_targets)", o="name")
 SQL_POOL = (
     SQL_ALIASES
     + ", pool AS (SELECT q.image_id, q.staged_name, c.canonical AS class_name, q.source, q.family, q.source_path, "
@@ -92,13 +93,22 @@ SQL_MANIFEST = (
 )
 
 
+#: Hashes in the tables have at most so many words.
+WORDS = 4
+
+
 def sql_words(column: str) -> list[str]:
-    """The 64-bit words of a 64-digit hash, as unsigned numbers."""
-    return [f"('0x' || substr({column}, {16 * k + 1}, 16))::UBIGINT" for k in range(4)]
+    """The 64-bit words of a hash, as unsigned numbers; filled with zeros."""
+    return [f"('0x' || rpad(substr({column}, {16 * k + 1}, 16), 16, '0'))::UBIGINT" for k in range(WORDS)]
 
 
 def sql_apart(a: str, b: str) -> str:
-    return " + ".join(f"bit_count(xor({x}, {y}))::INT" for x, y in zip([f"{a}{k}" for k in range(4)], [f"{b}{k}" for k in range(4)], strict=True))
+    return " + ".join(f"bit_count(xor({x}, {y}))::INT" for x, y in zip([f"{a}{k}" for k in range(WORDS)], [f"{b}{k}" for k in range(WORDS)], strict=True))
+
+
+def sql_near(a: str, b: str) -> str:
+    """Whether two rows with words h0 to h3 have hashes of equal length at most 5 bits apart."""
+    return f"length({a}.phash) = length({b}.phash) AND {sql_apart(a + '.h', b + '.h')} <= 5"
 
 
-SQL_WORDS = ", w AS (SELECT *, " + ", ".join(f"{w} AS h{k}" for k, w in enumerate(sql_words("phash"))) + " FROM pool WHERE length(phash) = 64)"
+SQL_WORDS = ", w AS (SELECT *, " + ", ".join(f"{w} AS h{k}" for k, w in enumerate(sql_words("phash"))) + " FROM pool WHERE phash IS NOT NULL)"
