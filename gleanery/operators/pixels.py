@@ -10,6 +10,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleanery.operators.ordering import before_by_sort
+from gleanery.runtime import cut
+
 STATISTICS = ["mean_red", "mean_green", "mean_blue", "brightness", "saturation", "border_brightness"]
 STYLES = {"soil": (110, 72, 46), "vegetation": (62, 96, 44), "sky": (150, 170, 195), "straw": (170, 150, 95)}  # fixed values
 IMAGE = "struct<width:int, height:int, channels:int, data:binary>"
@@ -62,17 +65,22 @@ def perceptual_hash(x: np.ndarray, size: int = 16) -> str:
 
 def quality(x: np.ndarray) -> tuple[float, float, float, float]:
     """Brightness mean and deviation, variance of the Laplacian, mean saturation."""
-    g = x.mean(axis=-1) / 255.0
-    edges = g[:-2, 1:-1] + g[2:, 1:-1] + g[1:-1, :-2] + g[1:-1, 2:] - 4 * g[1:-1, 1:-1] if min(g.shape) > 2 else np.zeros(1)
-    return float(g.mean()), float(g.std()), float(edges.var()), float(hsv_value_saturation(x)[1].mean())
+    light = x.mean(axis=2) / 255.0
+    curved = np.zeros(1)
+    if light.shape[0] > 2 and light.shape[1] > 2:
+        curved = np.diff(light, 2, axis=0)[:, 1:-1] + np.diff(light, 2, axis=1)[1:-1]
+    _, saturation = hsv_value_saturation(x)
+    return tuple(float(v) for v in (light.mean(), light.std(), curved.var(), saturation.mean()))
 
 
-def statistics(x: np.ndarray) -> tuple[float, ...]:
-    """`STATISTICS` of a 64 by 64 thumbnail."""
-    small = np.rint(resize(x, 64, 64))
-    value, saturation = hsv_value_saturation(small)
-    edge = np.concatenate([small[0].ravel(), small[-1].ravel(), small[:, 0].ravel(), small[:, -1].ravel()])
-    return (*(small.mean(axis=(0, 1)) / 255.0), value.mean(), saturation.mean(), edge.mean() / 255.0)
+def statistics(x: np.ndarray, side: int = 64) -> tuple[float, ...]:
+    """`STATISTICS` of a thumbnail."""
+    thumb = np.rint(resize(x, side, side))
+    inner = np.zeros((side, side), bool)
+    inner[1:-1, 1:-1] = True
+    per_channel = thumb.reshape(-1, 3).mean(axis=0) / 255.0
+    of_pixels = [v.mean() for v in hsv_value_saturation(thumb)]
+    return (*per_channel, *of_pixels, thumb[~inner].mean() / 255.0)
 
 
 def features(x: np.ndarray, side: int = 32, grey: bool = False) -> list[float]:
@@ -98,44 +106,50 @@ def downsample(x: np.ndarray, long_edge: int) -> np.ndarray:
     return resize(x, max(1, round(h * scale)), max(1, round(w * scale)))
 
 
-def procedural_background(seed: int, side: int) -> np.ndarray:
-    """A crude texture in one of four styles."""
+#: Of each style: waves over the side, across and down, and how much of the light they take. Own choices.
+WAVES = {"soil": (30, 30, 0.30), "vegetation": (24, 3, 0.35), "sky": (1, 2, 0.15), "straw": (20, 12, 0.30)}
+
+
+def procedural_background(seed: int, side: int, waves: int = 24) -> np.ndarray:
+    """A texture in one of the styles: plane waves of seeded direction, length and phase over its colour."""
     rng = np.random.default_rng(seed)
-    style = sorted(STYLES)[rng.integers(len(STYLES))]
-    coarse = resize(np.clip(rng.normal(0, 1, (8, 8, 3)) * 40 + 128, 0, 255), side, side) - 128
-    canvas = np.array(STYLES[style], float) + 0.8 * coarse + rng.normal(0, 12, (side, side, 3))
-    if style == "vegetation":
-        for _ in range(rng.integers(6, 15)):
-            at, wide = rng.integers(side), rng.integers(2, max(4, side // 40 + 1))
-            part = canvas[:, at : at + wide]
-            part += rng.normal(18, 6, part.shape)
-    return np.clip(canvas, 0, 255)
+    style = list(STYLES)[int(rng.integers(len(STYLES)))]
+    across, down, depth = WAVES[style]
+    at = np.arange(side) / side
+    turns_x, turns_y = rng.uniform(-across, across, waves), rng.uniform(-down, down, waves)
+    phase = rng.uniform(0.0, 2 * np.pi, waves)
+    # cos(a + b) as two outer products: all waves at once.
+    ax, ay = 2 * np.pi * np.outer(turns_x, at), 2 * np.pi * np.outer(turns_y, at) + phase[:, None]
+    field = (np.cos(ay).T @ np.cos(ax) - np.sin(ay).T @ np.sin(ax)) / np.sqrt(waves)
+    shade = 1.0 + depth * field[..., None] * rng.uniform(0.7, 1.0, 3)
+    return np.clip(np.array(STYLES[style], float) * shade, 0, 255)
 
 
 def corners(x: np.ndarray) -> list[np.ndarray]:
-    """The four corner thirds, mostly surroundings."""
-    h, w = x.shape[:2]
-    if h < 3 or w < 3:
+    """Patches of a third of either side from where the subject hardly is."""
+    high, wide = x.shape[0] // 3, x.shape[1] // 3
+    if not high or not wide:
         return []
-    return [x[a:b, c:d] for a, b in ((0, h // 3), (2 * h // 3, h)) for c, d in ((0, w // 3), (2 * w // 3, w))]
+    return [x[rows, columns] for rows in (slice(high), slice(-high, None)) for columns in (slice(wide), slice(-wide, None))]
 
 
-def composite(x: np.ndarray, background: np.ndarray, seed: int, scale: tuple[float, float] = (0.55, 0.95), least: float = 0.04) -> np.ndarray | None:
-    """The foreground at a seeded size and place on a background; null where it is under `least` of the image."""
-    side = min(max(*x.shape[:2], 224), 512)
-    square = resize(x, side, side)
-    mask = foreground(square)
-    if mask.mean() < least:
+def composite(x: np.ndarray, background: np.ndarray, seed: int, scale: tuple[float, float] = (0.5, 1.0), least: float = 0.04) -> np.ndarray | None:
+    """The subject, smaller and shifted by the seed, before a background of the image's own size.
+
+    Each pixel of the result looks up where it comes from in the image; what falls outside of it
+    or off its subject is background. Null where the subject is under `least` of the image.
+    """
+    subject = foreground(x)
+    if subject.mean() < least:
         return None
     rng = np.random.default_rng(seed)
-    inner = max(32, int(side * rng.uniform(*scale)))
-    at = (np.arange(inner) * side / inner).astype(int)
-    ox, oy = rng.integers(0, side - inner + 1, 2)
-    canvas = resize(background, side, side)
-    region = canvas[oy : oy + inner, ox : ox + inner]
-    small_mask = mask[np.ix_(at, at)]
-    region[small_mask] = resize(square, inner, inner)[small_mask]
-    return np.clip(canvas, 0, 255)
+    h, w = subject.shape
+    size, down, right = rng.uniform(*scale), *rng.uniform(0.0, 1.0, 2)
+    rows = np.floor((np.arange(h) - down * (1.0 - size) * h) / size).astype(int)
+    columns = np.floor((np.arange(w) - right * (1.0 - size) * w) / size).astype(int)
+    inside = ((rows >= 0) & (rows < h))[:, None] & ((columns >= 0) & (columns < w))[None, :]
+    pick = np.ix_(np.clip(rows, 0, h - 1), np.clip(columns, 0, w - 1))
+    return np.where((inside & subject[pick])[..., None], x[pick], resize(background, h, w))
 
 
 def _over(compute, kind: str):
@@ -234,24 +248,55 @@ def harvested(images: DataFrame) -> DataFrame:
     return train.mapInPandas(run, "path string, patch int, width int, height int, channels int, data binary")
 
 
-def augmented(images: DataFrame, copies: int, seed: int = 42) -> DataFrame:
-    """Composites of train originals on procedural backgrounds, `copies` each, with their lineage.
+PRODUCT = "aug__"
+
+
+def is_product(path: Column) -> Column:
+    """Whether a file is a product of augmentation, by its name."""
+    return F.element_at(F.split(path, "/"), -1).startswith(PRODUCT)
+
+
+def product_counts(images: DataFrame) -> DataFrame:
+    """(class_name, originals, products)."""
+    made = is_product(F.col("path"))
+    return images.groupBy("class_name").agg(F.count_if(~made).alias("originals"), F.count_if(made).alias("products"))
+
+
+def without_products(images: DataFrame) -> DataFrame:
+    return images.filter(~F.coalesce(is_product(F.col("path")), F.lit(False)))
+
+
+def augmented(images: DataFrame, copies: int, seed: int = 42, patches: DataFrame | None = None) -> DataFrame:
+    """Composites of train originals, `copies` each, with their lineage.
 
-    Refuses rows without a split: augmentation comes after splitting. Prior products (``aug__``
-    names) aren't augmented again. Images without enough foreground give none.
+    Backgrounds are those of `patches` (rows of `harvested`), dealt by the seed, or without
+    these, or if there are none, procedural ones. Refuses rows without a split: augmentation comes
+    after splitting. Prior products aren't augmented again. Images without enough foreground
+    give none.
     """
     if not images.filter("split is null").isEmpty():
         raise ValueError("images without split")
-    name = F.element_at(F.split("path", "/"), -1)
-    originals = images.filter("split = 'train'").filter(~name.startswith("aug__"))
+    originals = without_products(images.filter("split = 'train'"))
     plan = fan_out(originals.select("path", "class_name", *("width", "height", "channels", "data")), "path", copies, seed)
+    many = 0
+    if patches is not None:
+        numbered = before_by_sort(patches.withColumn("__all", F.lit(0)), ["__all"], ["path", "patch"], F.lit(1), "__k")
+        numbered = cut(numbered.select("__k", F.struct("width", "height", "channels", "data").alias("background")))
+        many = numbered.count()
+    if many:
+        plan = plan.withColumn("__k", F.col("seed") % F.lit(many)).join(numbered, "__k").drop("__k")
+    else:
+        plan = plan.withColumn("background", F.lit(None).cast(IMAGE))
 
     def run(batches):
         for pdf in batches:
             rows = []
             for r in pdf.itertuples(index=False):
                 x = to_array(r.width, r.height, r.channels, r.data)
-                y = None if x is None else composite(x, procedural_background(r.seed & 0x7FFFFFFF, 384), r.seed & 0x7FFFFFFF)
+                behind = None if r.background is None else to_array(*(r.background[c] for c in ("width", "height", "channels", "data")))
+                if behind is None:
+                    behind = procedural_background(r.seed & 0x7FFFFFFF, 256)
+                y = None if x is None else composite(x, behind, r.seed & 0x7FFFFFFF)
                 if y is not None:
                     rows.append({"path": r.augmented, "original": r.path, "class_name": r.class_name, "copy_index": r.copy_index, **to_row(y)})
             yield pd.DataFrame(rows, columns=["path", "original", "class_name", "copy_index", "width", "height", "channels", "data"])
@@ -265,6 +310,6 @@ def fan_out(rows: DataFrame, path: str, copies: int, seed: int = 42) -> DataFram
     folder = F.regexp_extract(path, r"^(.*/)?[^/]*$", 1)
     x = rows.withColumn("copy_index", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))) if copies > 0 else F.lit(0))
     x = x if copies > 0 else x.limit(0)
-    name = F.concat(folder, F.lit("aug__"), F.col("copy_index").cast("string"), F.lit("__"), stem, F.lit(".png"))
+    name = F.concat(folder, F.lit(PRODUCT), F.col("copy_index").cast("string"), F.lit("__"), stem, F.lit(".png"))
     digits = F.substring(F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col(path), F.col("copy_index").cast("string")), 256), 1, 15)
     return x.withColumn("augmented", name).withColumn("seed", F.conv(digits, 16, 10).cast("bigint"))

@@ -56,28 +56,68 @@ def checks(df: DataFrame, held_out: DataFrame, key: str = "image_id", limit: int
     return reduce(DataFrame.union, counts).withColumn("passed", F.col("violations") == 0)
 
 
-def file_checks(df: DataFrame, manifest: DataFrame, path: str = "path", name: str = "staged_name", split: str = "split", sha: str = "sha256", content: str | None = None) -> DataFrame:
+def _passed(counts: DataFrame, names: list[str]) -> DataFrame:
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("name"), F.col(k).alias("violations")) for k in names))).alias("x")
+    return counts.select(each).select("x.*").withColumn("passed", F.col("violations") == 0)
+
+
+def file_checks(df: DataFrame, manifest: DataFrame, path: str = "path", name: str = "staged_name", split: str = "split", sha: str = "sha256", content: str | None = None, decodes: str | None = None) -> DataFrame:
     """(name, violations, passed) of the checks over the files of a build, `path` being their key.
 
-    Augmented files (``aug__``) only in train; each file in the manifest (`path`, `sha`) with its
-    hash, and the reverse; no other file's name with the reserved prefix (`manifest` may
+    Each file in the manifest (`path`, `sha`) with its hash, and the reverse; augmented files
+    (``aug__``) only in train; no other file's name with the reserved prefix (`manifest` may
     have a boolean ``augmented``; without, every listed file counts as none); with `content`, no
-    WebP by its first bytes. A file without a hash or a split violates what asks for it.
+    WebP by its first bytes; with `decodes`, every file decodes. A file without a hash or a
+    split violates what asks for it.
     """
     marked = F.col("augmented") if "augmented" in manifest.columns else F.lit(False)
     listed = manifest.select(F.col(path).alias("__path"), F.col(sha).alias("__sha"), F.coalesce(marked, F.lit(False)).alias("__augmented"))
     both = df.join(listed, df[path] == F.col("__path"), "full")
+    there, known = F.col(path).isNotNull(), F.col("__path").isNotNull()
     prefixed = F.coalesce(F.element_at(F.split(name, "/"), -1).startswith(RESERVED), F.lit(False))
     bad = {
+        "not_on_disk": ~there,
+        "not_in_manifest": ~known,
+        "content_differs": there & known & ~F.coalesce(F.col(sha) == F.col("__sha"), F.lit(False)),
         "augmented_outside_train": prefixed & ~F.coalesce(F.col(split) == "train", F.lit(False)),
-        "content_differs": ~F.coalesce(F.col(sha) == F.col("__sha"), F.lit(False)),
         "reserved_prefix": prefixed & ~F.coalesce("__augmented", F.lit(False)),
     }
     if content is not None:
         bad["webp_content"] = F.coalesce(true_format(F.col(content)) == "WEBP", F.lit(False))
-    counts = both.agg(*(F.count_if(x).alias(k) for k, x in bad.items()))
-    each = F.explode(F.array(*(F.struct(F.lit(k).alias("name"), F.col(k).alias("violations")) for k in bad))).alias("x")
-    return counts.select(each).select("x.*").withColumn("passed", F.col("violations") == 0)
+    if decodes is not None:
+        bad["undecodable"] = there & ~F.coalesce(F.col(decodes), F.lit(False))
+    return _passed(both.agg(*(F.count_if(x).alias(k) for k, x in bad.items())), list(bad))
+
+
+def build_checks(manifest: DataFrame, pool: DataFrame, full: DataFrame, balanced: DataFrame, key: str, name: str = "staged_name", split: str = "split", sha: str = "sha256") -> DataFrame:
+    """(name, violations, passed) of a staged build against its manifest (with ``in_balanced``): the pool
+    and both variants hold what they should, each balanced record is in the full variant and the
+    same split, content is the manifest's, augmented records are in train alone, and names
+    neither collide nor begin with the reserved prefix.
+
+    Each record is one row of one aggregate, with flags for where it was found.
+    """
+    flags = {"m": manifest, "p": pool, "f": full, "b": balanced}
+    each = None
+    for tag, df in flags.items():
+        own = df.select(F.col(key).alias("key"), F.lit(tag).alias("tag"), F.col(split).alias("split"), F.col(sha).alias("sha"), F.col(name).alias("name"), "in_balanced")
+        each = own if each is None else each.unionByName(own)
+    of = lambda tag, c: F.max(F.when(F.col("tag") == tag, F.col(c)))
+    found = each.groupBy("key").agg(*(F.count_if(F.col("tag") == t).alias(t) for t in flags), *(of(t, "split").alias(f"{t}_split") for t in "mfb"), *(of(t, "sha").alias(f"{t}_sha") for t in "mp"), of("m", "name").alias("name"), of("m", "in_balanced").alias("chosen"))
+    chosen = F.coalesce("chosen", F.lit(False)) & F.col("m_split").isNotNull()
+    augmented = F.coalesce(F.col("name").startswith(RESERVED), F.lit(False))
+    bad = {
+        "pool_differs": F.col("p") != F.col("m"),
+        "full_differs": F.col("f") != F.when(F.col("m_split").isNotNull(), F.col("m")).otherwise(0),
+        "balanced_differs": F.col("b") != F.when(chosen, F.col("m")).otherwise(0),
+        "balanced_not_in_full": (F.col("b") > 0) & ((F.col("f") == 0) | ~F.col("b_split").eqNullSafe(F.col("f_split"))),
+        "content_differs": (F.col("p") > 0) & ~F.col("p_sha").eqNullSafe(F.col("m_sha")),
+        "augmented_outside_train": augmented & (F.col("f") > 0) & ~F.col("f_split").eqNullSafe(F.lit("train")),
+        "reserved_prefix": augmented,
+    }
+    counts = _passed(found.agg(*(F.count_if(x).alias(k) for k, x in bad.items())), list(bad))
+    names = manifest.groupBy(name).agg(F.count("*").alias("n")).filter("n > 1").agg(F.count("*").alias("violations"))
+    return counts.union(names.select(F.lit("name_collisions"), "violations", F.col("violations") == 0))
 
 
 def verdict(checked: DataFrame) -> DataFrame:

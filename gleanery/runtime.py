@@ -60,6 +60,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def local_path(path: str) -> str:
+    """The path of a file URL."""
+    if "://" in path and not path.startswith("file://"):
+        raise ValueError(f"not in a file system of this machine: {path}")
+    return "/" + path.removeprefix("file:").lstrip("/")
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a path that `scratch` gave."""
     jvm = spark._jvm

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,13 +39,18 @@ def upload_status(model_ready: Column, name: Column, size: Column, width: Column
     )
 
 
+def _plain(root: str) -> str:
+    """A root as paths show it: file URLs without their scheme."""
+    return re.sub("^file:/+", "/", root)
+
+
 def scan(spark: SparkSession, root: str, extensions: list[str] | None = EXTENSIONS) -> DataFrame:
     """Files below `root`: path, rel_path, folder, ext, size, content; no bookkeeping files.
 
     `extensions` None keeps every file. Rows come in no order: sort by path where order matters.
     """
     x = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    x = x.withColumn("path", F.regexp_replace("path", "^file:/+", "/")).withColumn("rel_path", relative(F.col("path"), root))
+    x = x.withColumn("path", F.regexp_replace("path", "^file:/+", "/")).withColumn("rel_path", relative(F.col("path"), _plain(root)))
     x = x.withColumn("ext", extension(F.col("path"))).filter(~is_metadata(F.col("rel_path")))
     if extensions is not None:
         x = x.filter(F.col("ext").isin(extensions))
@@ -62,17 +69,57 @@ def class_scan(spark: SparkSession, root: str, aliases: DataFrame) -> tuple[Data
     return known, unknown, missing
 
 
+def strict_scan(spark: SparkSession, root: str, classes: DataFrame) -> DataFrame:
+    """Files with ``class_name`` and ``counted``: whether their folder is a class's configured directory.
+
+    Files in folders that only an alias resolves aren't counted, those in others have no class.
+    """
+    from gleanery.functions.names import alias_table, resolve
+
+    found = resolve(scan(spark, root), "folder", alias_table(classes, "class_name", order="idx" if "idx" in classes.columns else None), "class_name")
+    exact = classes.select(F.col("class_dir").alias("folder"), F.col("class_name").alias("__exact"))
+    x = found.join(exact, "folder", "left").withColumn("counted", F.col("__exact").isNotNull())
+    return x.withColumn("class_name", F.coalesce("__exact", "class_name")).drop("__exact")
+
+
+def class_order(files: DataFrame, classes: DataFrame, path: str = "path") -> DataFrame:
+    """Adds ``idx``, the number of the class, and ``place``, the file's place by (idx, path)."""
+    from gleanery.operators.ordering import before_by_sort
+
+    x = files.join(classes.select("class_name", "idx"), "class_name").withColumn("__all", F.lit(0))
+    return before_by_sort(x, ["__all"], ["idx", path], F.lit(1), "place").drop("__all")
+
+
+def folder_listing(spark: SparkSession, root: str, aliases: DataFrame) -> DataFrame:
+    """(folder, class_name, n): folders with images, and the class that their name resolves to."""
+    from gleanery.functions.names import resolve
+
+    counts = scan(spark, root).groupBy("folder").agg(F.count("*").alias("n"))
+    return resolve(counts, "folder", aliases, "class_name").select("folder", "class_name", "n")
+
+
+def _by_folder(files: DataFrame) -> DataFrame:
+    return files.withColumn("key", F.regexp_extract("rel_path", "^(.*)/[^/]*$", 1))
+
+
+def missing_folders(spark: SparkSession, root: str, registry: DataFrame) -> DataFrame:
+    """The registry's rows whose folder has no files: a warning each."""
+    wanted = registry.withColumn("key", F.concat_ws("/", "source", "folder"))
+    return wanted.join(_by_folder(scan(spark, root)).select("key").distinct(), "key", "left_anti").drop("key")
+
+
 def registry_scan(spark: SparkSession, root: str, registry: DataFrame, strict: bool = True, per_folder: int | None = None) -> DataFrame:
     """Files of the registry's (source, folder, class_name) entries below root/source/folder.
 
-    Missing folders raise if `strict`, else they are left out. `per_folder` keeps the first files by path.
+    Missing folders raise if `strict`, else they are left out and `missing_folders` gives them.
+    `per_folder` keeps the first files by path.
     """
     from pyspark.sql import Window as W
 
-    files = scan(spark, root).withColumn("key", F.regexp_extract("rel_path", "^(.*)/[^/]*$", 1))
+    files = _by_folder(scan(spark, root))
     wanted = registry.withColumn("key", F.concat_ws("/", "source", "folder"))
     if strict:
-        gone = [r["key"] for r in wanted.join(files, "key", "left_anti").select("key").limit(20).collect()]
+        gone = [f"{r['source']}/{r['folder']}" for r in missing_folders(spark, root, registry).limit(20).collect()]
         if gone:
             raise FileNotFoundError(f"missing folders: {', '.join(sorted(gone))}")
     x = files.drop("folder").join(wanted.select("key", "source", "class_name"), "key").withColumnRenamed("rel_path", "source_path")
@@ -84,7 +131,8 @@ def registry_scan(spark: SparkSession, root: str, registry: DataFrame, strict: b
 def decode(spark: SparkSession, root: str) -> DataFrame:
     """(path, width, height, channels, data) by Spark's image source; width -1 where it can't decode."""
     x = spark.read.format("image").option("recursiveFileLookup", "true").option("dropInvalid", "false").load(root)
-    x = x.select("image.*").withColumn("path", F.regexp_replace("origin", "^file:/+", "/"))
+    # The source gives URLs, in which blanks and the like are escaped; a plus is a plus.
+    x = x.select("image.*").withColumn("path", F.regexp_replace(F.url_decode(F.replace("origin", F.lit("+"), F.lit("%2B"))), "^file:/+", "/"))
     return x.select("path", "width", "height", F.col("nChannels").alias("channels"), "data")
 
 
@@ -107,7 +155,8 @@ def listing(spark: SparkSession, root: str) -> DataFrame:
                 found += [(i.path, i.size) for i in infos if i.type == fs.FileType.File]
             yield pd.DataFrame(found, columns=["path", "size"])
 
-    base = root if "://" in root else f"file://{root}"
+    base = _plain(root)
+    base = base if "://" in base else f"file://{base}"
     system, path = fs.FileSystem.from_uri(base)
     tops = [(base.rstrip("/") + "/" + i.base_name,) for i in system.get_file_info(fs.FileSelector(path))]
     entries = spark.createDataFrame(tops, "uri string")
@@ -116,7 +165,7 @@ def listing(spark: SparkSession, root: str) -> DataFrame:
 
 def inspect(spark: SparkSession, root: str) -> DataFrame:
     """Every file with its true format, sizes and the reason against it (null if it is usable)."""
-    files = listing(spark, root).withColumn("rel_path", relative(F.col("path"), root)).filter(~is_metadata(F.col("rel_path")))
+    files = listing(spark, root).withColumn("rel_path", relative(F.col("path"), _plain(root))).filter(~is_metadata(F.col("rel_path")))
     content = scan(spark, root, None).select("path", "content")
     sizes = decode(spark, root).select("path", "width", "height")
     x = files.withColumn("ext", extension(F.col("path"))).join(content, "path", "left").join(sizes, "path", "left")

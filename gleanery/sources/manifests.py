@@ -14,13 +14,17 @@ CONDITIONS = ["lighting", "background", "distance", "angle", "quality"]
 VARIANTS = ["pool", "full", "balanced"]
 
 
+#: Values as they are: blanks stay, quotes are doubled.
+CSV = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "escape": '"', "multiLine": True}
+
+
 def _strings(columns: list[str]) -> T.StructType:
     return T.StructType([T.StructField(c, T.StringType()) for c in columns])
 
 
 def read_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """All columns as strings, by the declared schema."""
-    return spark.read.schema(_strings(columns)).option("header", True).csv(path)
+    return spark.read.schema(_strings(columns)).options(header=True, **CSV).csv(path)
 
 
 def read_fingerprints(spark: SparkSession, path: str) -> DataFrame:
@@ -49,8 +53,13 @@ def read_conditions(spark: SparkSession, path: str, lower: bool = True) -> DataF
 
 
 def write_sorted_csv(df: DataFrame, path: str, order: list[str]) -> None:
-    """A report: sorted, as one file. Large results belong in parquet."""
-    df.orderBy(*order).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    """Rows sorted over numbered files, each a range: read in the order of their names they are sorted."""
+    df.orderBy(*order).write.mode("overwrite").options(header=True, **CSV).csv(path)
+
+
+def write_rows_csv(df: DataFrame, path: str) -> None:
+    """All rows as CSV files with headers, in no order: for tables of any size."""
+    df.write.mode("overwrite").options(header=True, **CSV).csv(path)
 
 
 def write_manifest(pool: DataFrame, path: str) -> None:
