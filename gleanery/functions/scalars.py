@@ -86,6 +86,11 @@ def percent(share: Column, digits: int = 1) -> Column:
     return F.when(share.isNull(), "n/a").otherwise(F.format_string(f"%.{digits}f%%", share * 100))
 
 
+def reported(value: Column, digits: int) -> Column:
+    """A number of a report: rounded half to even, as the language of the reports does it."""
+    return F.bround(value.cast("double"), digits)
+
+
 def megapixels(width: Column, height: Column) -> Column:
     return width * height / F.lit(1e6)
 

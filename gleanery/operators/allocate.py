@@ -76,3 +76,11 @@ def sampling_plan(supply: DataFrame, ratio: float) -> DataFrame:
     total = F.sum("available").over(W.partitionBy("class_name"))
     x = supply.withColumn("__total", total).withColumn("cap", F.floor(F.min("__total").over(W.partitionBy()) * F.lit(ratio)).cast("bigint"))
     return even_allocation(x.drop("__total"), ["class_name"], "source", "available", F.col("cap"))
+
+
+def sampling_limits(supply: DataFrame, ratio: float) -> DataFrame:
+    """One row: the smallest class (of equals the first name), the cap it sets, largest over smallest before and after."""
+    totals = supply.groupBy("class_name").agg(F.sum("available").alias("total"))
+    least = totals.agg(F.min(F.struct("total", "class_name")).alias("m"), F.max("total").alias("most"))
+    cap = F.floor(F.col("m.total") * F.lit(ratio)).cast("bigint")
+    return least.select(F.col("m.class_name").alias("binding_class"), cap.alias("cap"), (F.col("most") / F.col("m.total")).alias("imbalance_before"), (F.least("most", cap) / F.least(F.col("m.total"), cap)).alias("imbalance_after"))

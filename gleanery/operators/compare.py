@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gleanery.operators.ordering import before_by_sort
+
 
 def model_changes(rows: DataFrame, file: str, a: str, b: str) -> DataFrame:
     """Files whose prediction differs between two versions: fixed, broken, still wrong, not scored.
@@ -51,6 +53,14 @@ def config_differences(settings: DataFrame) -> DataFrame:
     return x.filter((F.col("d") > 1) | ((F.col("d") == 1) & (F.col("given") < versions))).select("setting", F.array_join(F.transform("values", lambda s: F.concat_ws("=", s["version"], F.coalesce(s["value"], F.lit("none")))), ", ").alias("values"))
 
 
+def class_profiles(rows: DataFrame, label: str, order: list[str], keys: list[str], first: int | None = None) -> DataFrame:
+    """(label, n, keys): means of each class, of its `first` rows in `order` if given."""
+    if first is not None:
+        numbered = before_by_sort(rows, [label], order, F.lit(1), "__place")
+        rows = numbered.filter(F.col("__place") < first)
+    return rows.groupBy(label).agg(F.count("*").alias("n"), *(F.avg(k).alias(k) for k in keys))
+
+
 def nearest_profile(rows: DataFrame, profiles: DataFrame, key: str, keys: list[str], label: str) -> DataFrame:
     """(key, label, distance): the profile with the least Euclidean distance, ties by label.
 

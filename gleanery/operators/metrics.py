@@ -133,10 +133,10 @@ def row_status(rows: DataFrame) -> DataFrame:
     return rows.groupBy(status.alias("status")).agg(F.count("*").alias("n"))
 
 
-def scorecard(rows: DataFrame, version: str = "model_version") -> DataFrame:
-    """Per model: labelled rows, accuracy, mean confidences, errors above the low-confidence mark."""
+def scorecard(rows: DataFrame, version: str = "model_version", *by: str) -> DataFrame:
+    """Per model, and by further columns: labelled rows, accuracy, mean confidences, errors above the low-confidence mark."""
     hit = F.col("actual_class") == F.col("predicted_class")
-    return rows.filter("actual_class is not null").groupBy(version).agg(
+    return rows.filter("actual_class is not null").groupBy(version, *by).agg(
         F.count("*").alias("n"), F.avg(hit.cast("int")).alias("accuracy"), F.avg("confidence").alias("mean_confidence"),
         F.avg(F.when(hit, F.col("confidence"))).alias("mean_correct"), F.avg(F.when(~hit, F.col("confidence"))).alias("mean_wrong"), F.count_if(~hit & ~F.col("low_confidence")).alias("confident_errors"),
     )

@@ -9,7 +9,7 @@ from gleanery.functions import scalars as S
 from gleanery.operators import compare, metrics
 from gleanery.plans.registry import query
 from gleanery.plans.tables import LABELS, P_COLUMNS, SQL_MANIFEST, SQL_POOL, SQL_PRED, classes, manifest, pool, predictions
-from gleanery.runtime import table
+from gleanery.runtime import cut, table
 
 W_PRED = "WITH " + SQL_PRED
 _P = "[" + ", ".join(P_COLUMNS) + "]"
@@ -269,3 +269,46 @@ def held_out_manifest(spark: SparkSession, d: str) -> DataFrame:
     files = table(spark, d, "v3_external_fingerprints").select("file").filter("file is not null").distinct().withColumn("there", F.lit(True))
     x = table(spark, d, "external_manifest").join(files, "file", "left")
     return x.groupBy("file", F.coalesce("there", F.lit(False)).alias("present")).agg(F.count("*").alias("n"))
+
+
+@query(_TP.replace("FROM k GROUP BY 1)", "FROM k GROUP BY 1, 2)").replace("SELECT actual_class AS c,", "SELECT actual_class AS c, model_version AS v,").replace("SELECT predicted_class AS c,", "SELECT predicted_class AS c, model_version AS v,").replace("FROM classes LEFT JOIN a ON a.c = class_name LEFT JOIN b ON b.c = class_name)", "FROM (SELECT idx, class_name, v FROM classes, (SELECT DISTINCT model_version AS v FROM k)) q LEFT JOIN a ON a.c = class_name AND a.v = q.v LEFT JOIN b ON b.c = class_name AND b.v = q.v)").replace("m AS (SELECT idx,", "m AS (SELECT q.v AS model_version, idx,")
+    + " SELECT class_name, " + ", ".join(f"round(coalesce(max({m}) FILTER (model_version = '{v}'), 0.0), 10) AS {v}_{m}" for v in VERSIONS for m in ("f1", "recall")) + " FROM f GROUP BY class_name")
+def model_scores_side_by_side(spark: SparkSession, d: str) -> DataFrame:
+    """F1 and recall of each class by version; 0 where a version lacks it."""
+    x = cut(predictions(spark, d, "prediction_id").filter(F.col("model_version").isin(VERSIONS)))
+    out = classes(spark, d).select("class_name")
+    for v in VERSIONS:
+        scores = metrics.per_class(x.filter(F.col("model_version") == v), classes(spark, d))
+        out = out.join(scores.select("class_name", *(F.round(m, 10).alias(f"{v}_{m}") for m in ("f1", "recall"))), "class_name", "left")
+    return out.na.fill(0.0)
+
+
+@query(W_PRED + " SELECT model_version, actual_class, count(*) AS n, round(avg((actual_class = predicted_class)::INT), 10) AS accuracy, round(avg(confidence), 10) AS mean_confidence FROM pred WHERE actual_class IS NOT NULL GROUP BY 1, 2")
+def scorecard_per_class(spark: SparkSession, d: str) -> DataFrame:
+    """Only classes that a version was scored on."""
+    return rounded(metrics.scorecard(predictions(spark, d, "prediction_id"), "model_version", "actual_class").select("model_version", "actual_class", "n", "accuracy", "mean_confidence"), "accuracy", "mean_confidence")
+
+
+_FIRST = "WITH " + SQL_POOL + ", r AS (SELECT *, row_number() OVER (PARTITION BY class_name ORDER BY source_path, image_id) AS k FROM pool WHERE class_name IS NOT NULL)"
+
+
+@query(_FIRST + " SELECT class_name, count(*) AS n, round(avg(width), 10) AS width, round(avg(height), 10) AS height FROM r WHERE k <= 150 GROUP BY class_name")
+def first_files_profile(spark: SparkSession, d: str) -> DataFrame:
+    """The profile of a class from its first 150 files by path, which is the operator's rule."""
+    x = pool(spark, d, "class_name", "source_path", "width", "height").filter("class_name is not null")
+    return rounded(compare.class_profiles(x, "class_name", ["source_path", "image_id"], ["width", "height"], 150), "width", "height")
+
+
+@query(_PROFILES + ", n AS (SELECT prediction_id, predicted_class, class_name, sqrt(" + " + ".join(f"pow({c} - m_{c}, 2)" for c in P_COLUMNS[:6]) + ") AS distance FROM pred CROSS JOIN prof), r AS (SELECT *, row_number() OVER (PARTITION BY prediction_id ORDER BY distance, class_name) AS k FROM n) SELECT predicted_class, class_name, class_name = predicted_class AS warn, count(*) AS n FROM r WHERE k = 1 GROUP BY ALL")
+def profile_warnings(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the nearest profile is the predicted class: the picture then only looks like the class as a whole."""
+    x = predictions(spark, d)
+    near = compare.nearest_profile(x, _profiles(spark, d), "prediction_id", P_COLUMNS[:6], "class_name").join(x.select("prediction_id", "predicted_class"), "prediction_id")
+    return near.groupBy("predicted_class", "class_name", (F.col("class_name") == F.col("predicted_class")).alias("warn")).agg(F.count("*").alias("n"))
+
+
+@query("WITH " + SQL_POOL + ", s AS (SELECT class_name, count(*) AS n, count(width) AS k FROM pool GROUP BY class_name) SELECT class_name, round_even(100 * k / n, 1) AS percent, round_even(n / 1000, 2) AS thousands FROM s")
+def reported_numbers(spark: SparkSession, d: str) -> DataFrame:
+    """Numbers of reports, rounded half to even."""
+    s = pool(spark, d, "class_name", "width").groupBy("class_name").agg(F.count("*").alias("n"), F.count("width").alias("k"))
+    return s.select("class_name", S.reported(100 * F.col("k") / F.col("n"), 1).alias("percent"), S.reported(F.col("n") / 1000, 2).alias("thousands"))

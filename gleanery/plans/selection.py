@@ -133,3 +133,24 @@ def running_weight(spark: SparkSession, d: str) -> DataFrame:
     return before_by_sort(pool(spark, d, "source").select("image_id", "source"), ["source"], ["image_id"], F.col("image_id") % 7 + 1).select("image_id", "source", "before")
 
 
+
+
+@query(W_POOL + f""", t AS (SELECT class_name, count(*) AS total FROM pool WHERE class_name IS NOT NULL AND source IS NOT NULL GROUP BY class_name), c AS (SELECT *, floor(min(total) OVER () * {RATIO})::BIGINT AS cap FROM t)
+    SELECT (SELECT class_name FROM t ORDER BY total, class_name LIMIT 1) AS binding_class, any_value(cap) AS cap, round(max(total) / min(total), 10) AS imbalance_before, round(max(least(total, cap)) / min(least(total, cap)), 10) AS imbalance_after FROM c""")
+def sampling_limits(spark: SparkSession, d: str) -> DataFrame:
+    """The class that sets the cap (of equals the first name), and the imbalance before and after sampling."""
+    x = allocate.sampling_limits(_supply(spark, d), RATIO)
+    return x.withColumns({c: F.round(c, 10) for c in ("imbalance_before", "imbalance_after")})
+
+
+_BY_CLASS = _GROUPS.replace("coalesce(family, '')", "''").replace("concat_ws('|', '42', k1, k2, grp)", "concat_ws('|', '42', k1, grp)").replace("PARTITION BY k1, k2", "PARTITION BY k1")
+
+
+@query(_BY_CLASS + " SELECT k1 AS class_name, split, count(*) AS groups, sum(n)::BIGINT AS images FROM assigned GROUP BY ALL")
+def class_split_counts(spark: SparkSession, d: str) -> DataFrame:
+    """The split by class alone."""
+    grp = F.when(F.col("group_id") >= 0, F.concat(F.lit("g"), "group_id")).otherwise(F.concat(F.lit("i"), "image_id"))
+    members = pool(spark, d, "group_id", "class_name").withColumn("grp", grp)
+    groups = members.groupBy("grp").agg(F.count("*").alias("n"), F.min_by(F.coalesce("class_name", F.lit("")), "image_id").alias("k1"))
+    assigned = allocate.greedy_split(groups, ["k1"], "grp", "n", 0.125, 0.125, SEED)
+    return assigned.groupBy(F.col("k1").alias("class_name"), "split").agg(F.count("*").alias("groups"), F.sum("n").alias("images"))

@@ -17,6 +17,23 @@ def first_arrivals(stream: DataFrame, keys: list[str], time: str, late: str = "3
     return stream.withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
 
 
+def first_seen(stream: DataFrame, keys: list[str], path: str, checkpoint: str, order: str) -> None:
+    """Writes each key once, however late it comes again, and ends when all that is there is taken.
+
+    What is known is the table itself: a batch is reduced to the first row of each key by `order`
+    and joined against the table; no state is held in memory. Batches have folders of their own,
+    so that one taken again after a failure replaces what it wrote.
+    """
+
+    def take(batch: DataFrame, number: int) -> None:
+        first = batch.groupBy(*keys).agg(F.min_by(F.struct(*batch.columns), order).alias("__row")).select("__row.*")
+        earlier = [f"{path}/batch={n}" for n in range(number)]
+        known = batch.sparkSession.read.schema(batch.schema).option("basePath", path).parquet(*earlier) if earlier else batch.limit(0)
+        first.join(known.select(*keys).distinct(), keys, "left_anti").select(*batch.columns).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
 def without_held_out(stream: DataFrame, held_out: DataFrame, content: str) -> DataFrame:
     """Rows whose content isn't among the held-out files: a join of the stream with a table."""
     known = held_out.select(F.col("sha256").alias("__sha")).filter("__sha is not null").distinct().withColumn("__hit", F.lit(True))
