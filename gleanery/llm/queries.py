@@ -119,7 +119,20 @@ QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_report, p2_sample, p3_
 _CANON = """WITH RECURSIVE alias AS (SELECT 'class_name' AS f, class_name AS c, unnest(list_append(aliases, class_name)) AS a FROM classes UNION ALL SELECT 'split', split_name, unnest(list_append(aliases, split_name)) FROM split_targets),
     k AS (SELECT f, nullif(translate(lower(trim(a)), ' -', '__'), '') AS k, min(c) AS c FROM alias GROUP BY ALL)"""
 
+_HEX = "nullif(regexp_replace(regexp_replace(lower({0}), '[\\s:-]+', '', 'g'), '^0x', ''), '')"
+_APART = " + ".join(f"bit_count(xor(('0x' || rpad(substr(a.p, {16 * k + 1}, 16), 16, '0'))::UBIGINT, ('0x' || rpad(substr(b.p, {16 * k + 1}, 16), 16, '0'))::UBIGINT))::INT" for k in range(4))
+
 ORACLES: dict[str, str] = {
+    "p1_found": "WITH RECURSIVE known AS MATERIALIZED (SELECT DISTINCT "
+    + f"{_HEX.format('sha256')} AS s, {_HEX.format('original_sha256')} AS o, {_HEX.format('phash')} AS p FROM pool_images UNION SELECT {_HEX.format('sha256')}, NULL, {_HEX.format('phash')} FROM v3_external_fingerprints),"
+    + f" new AS MATERIALIZED (SELECT intake_id, row_number() OVER (ORDER BY batch_no, intake_id) AS i, {_HEX.format('sha256')} AS s, {_HEX.format('phash')} AS p FROM intake_images),"
+    + " hit AS MATERIALIZED (SELECT i FROM new WHERE s IN (SELECT s FROM known WHERE s IS NOT NULL UNION SELECT o FROM known WHERE o IS NOT NULL) UNION SELECT a.i FROM new a JOIN (SELECT DISTINCT p FROM known WHERE p IS NOT NULL) b"
+    + f" ON length(a.p) = length(b.p) AND {_APART} <= 5), fresh AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY i) AS k FROM new WHERE i NOT IN (FROM hit)),"
+    + f" near AS MATERIALIZED (SELECT b.k, list(a.k) AS before FROM fresh a JOIN fresh b ON a.k < b.k AND (a.s = b.s OR length(a.p) = length(b.p) AND {_APART} <= 5) GROUP BY b.k),"
+    + " todo AS MATERIALIZED (SELECT k, coalesce(before, []) AS before FROM fresh LEFT JOIN near USING (k)),"
+    + " turn AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS accepted UNION ALL SELECT t.k, CASE WHEN list_has_any(accepted, t.before) THEN accepted ELSE list_append(accepted, t.k) END FROM turn JOIN todo t ON t.k = turn.k + 1),"
+    + " done AS (SELECT unnest(accepted) AS k FROM turn WHERE k = (SELECT max(k) FROM turn))"
+    + " SELECT intake_id FROM new WHERE i IN (FROM hit) UNION ALL SELECT intake_id FROM fresh WHERE k NOT IN (FROM done)",
     "p2_found": _CANON
     + """, img AS (SELECT DISTINCT image_id, x.c AS class_name, y.c AS split, nullif(trim(source), '') AS source, in_balanced FROM pool_images p
         LEFT JOIN k x ON x.f = 'class_name' AND x.k = translate(lower(trim(p.class_name)), ' -', '__') LEFT JOIN k y ON y.f = 'split' AND y.k = translate(lower(trim(p.split)), ' -', '__')),
