@@ -68,7 +68,7 @@ def file_checks(df: DataFrame, manifest: DataFrame, path: str = "path", name: st
     (``aug__``) only in train; no other file's name with the reserved prefix (`manifest` may
     have a boolean ``augmented``; without, every listed file counts as none); with `content`, no
     WebP by its first bytes; with `decodes`, every file decodes. A file without a hash or a
-    split violates what asks for it.
+    split, or one that only one side has, violates what asks for it.
     """
     marked = F.col("augmented") if "augmented" in manifest.columns else F.lit(False)
     listed = manifest.select(F.col(path).alias("__path"), F.col(sha).alias("__sha"), F.coalesce(marked, F.lit(False)).alias("__augmented"))
@@ -78,7 +78,7 @@ def file_checks(df: DataFrame, manifest: DataFrame, path: str = "path", name: st
     bad = {
         "not_on_disk": ~there,
         "not_in_manifest": ~known,
-        "content_differs": there & known & ~F.coalesce(F.col(sha) == F.col("__sha"), F.lit(False)),
+        "content_differs": ~F.coalesce(F.col(sha) == F.col("__sha"), F.lit(False)),
         "augmented_outside_train": prefixed & ~F.coalesce(F.col(split) == "train", F.lit(False)),
         "reserved_prefix": prefixed & ~F.coalesce("__augmented", F.lit(False)),
     }

@@ -205,7 +205,7 @@ def verify_build(spark: SparkSession, d: str) -> DataFrame:
     return verify.build_checks(x, on_disk["pool"], on_disk["full"], on_disk["balanced"], "image_id")
 
 
-@query("WITH " + _FILES + " SELECT 'undecodable' AS name, 2::BIGINT AS violations, false AS passed UNION ALL SELECT 'webp_content', 1, false UNION ALL SELECT 'content_differs', 0, true UNION ALL SELECT 'not_in_manifest', 0, true UNION ALL SELECT 'not_on_disk', 1, false UNION ALL SELECT 'augmented_outside_train', 0, true UNION ALL SELECT 'reserved_prefix', 0, true")
+@query("WITH " + _FILES + " SELECT 'undecodable' AS name, 2::BIGINT AS violations, false AS passed UNION ALL SELECT 'webp_content', 1, false UNION ALL SELECT 'content_differs', 1, false UNION ALL SELECT 'not_in_manifest', 0, true UNION ALL SELECT 'not_on_disk', 1, false UNION ALL SELECT 'augmented_outside_train', 0, true UNION ALL SELECT 'reserved_prefix', 0, true")
 def verify_files(spark: SparkSession, d: str) -> DataFrame:
     """Files on disk against a manifest that lists one more: hashes, bytes, decoding."""
     root = _tree(spark, d)

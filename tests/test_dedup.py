@@ -159,4 +159,34 @@ def test_file_checks(spark):
     assert verify.verdict(run(good)).first()["passed"]
     bad = [good[0], ("train/b", "aug__0__a.png", "validation", "2", png), ("test/c", "aug__c.png", "test", "9", webp), ("test/d", "d.png", "test", None, png)]
     got = {r["name"]: r["violations"] for r in run(bad).collect()}
-    assert got == {"augmented_outside_train": 2, "content_differs": 2, "reserved_prefix": 1, "webp_content": 1}
+    assert got == {"augmented_outside_train": 2, "content_differs": 2, "reserved_prefix": 1, "webp_content": 1, "not_on_disk": 0, "not_in_manifest": 1}
+
+
+def test_build_checks(spark):
+    kind = "id long, staged_name string, sha256 string, split string, in_balanced boolean"
+    rows = [(1, "a", "1", "train", True), (2, "b", "2", "test", False), (3, "c", "3", None, False), (4, "aug__d", "4", "test", False)]
+    manifest = spark.createDataFrame(rows, kind)
+    run = lambda p, f, b: {r["name"]: r["violations"] for r in verify.build_checks(manifest, *(spark.createDataFrame(x, kind) for x in (p, f, b)), "id").collect()}
+    good = run(rows, [rows[0], rows[1], rows[3]], rows[:1])
+    assert {k for k, n in good.items() if n} == {"augmented_outside_train", "reserved_prefix"}
+    bad = run([(1, "a", "9", "train", True), rows[1], rows[3]], rows[:1], [(1, "a", "1", "test", True), rows[1]])
+    assert bad["pool_differs"] == 1 and bad["full_differs"] == 2 and bad["balanced_differs"] == 1 and bad["balanced_not_in_full"] == 2 and bad["content_differs"] == 1
+
+
+def test_hashes_of_every_length_and_dense_balls(spark, monkeypatch):
+    from gleanery.operators import hamming
+
+    monkeypatch.setattr(hamming, "HOT_BAND", 30)
+    rng = random.Random(17)
+    flip = lambda h, bits: f"{int(h, 16) ^ sum(1 << b for b in rng.sample(range(4 * len(h)), bits)):0{len(h)}x}"
+    hashes = []
+    for n in (3, 16, 64, 100):
+        centre = f"{rng.getrandbits(4 * n):0{n}x}"
+        hashes += [flip(centre, rng.randrange(0, 6)) for _ in range(60)] + [f"{rng.getrandbits(4 * n):0{n}x}" for _ in range(20)]
+    df = spark.createDataFrame([(k, h) for k, h in enumerate([*hashes, None])], "id long, h string")
+    first: dict = {}
+    for k, h in enumerate(hashes):
+        first.setdefault(h, k)
+    own = sorted(first.items(), key=lambda x: x[1])
+    want = {(a, b) for x, a in own for y, b in own if a < b and len(x) == len(y) and (int(x, 16) ^ int(y, 16)).bit_count() <= 5}
+    assert {(r["a_id"], r["b_id"]) for r in near_pairs(df, None, "id", "h").collect()} == want
